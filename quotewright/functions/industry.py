@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quotewright import seeds
+from quotewright.functions.binding import let
 from quotewright.functions.text import strip
 
 
@@ -25,11 +26,17 @@ def _columns(aliases) -> tuple[Column, Column]:
 
 def first_match(key: Column, aliases=seeds.COST_ALIASES, min_key_len: int = 0) -> Column:
     """Industry of the first alias, in table order, that contains ``key`` or is contained in it."""
+    return let(key, lambda k: _first_match(k, aliases, min_key_len))
+
+
+def _first_match(key: Column, aliases, min_key_len: int) -> Column:
     names, owners = _columns(aliases)
 
     # A search in the newline-joined aliases finds the first alias around the key.
     joined = "\n".join(alias for alias, _ in aliases)
-    at = F.when(F.length(key) >= min_key_len, F.instr(F.lit(joined), key)).otherwise(0)
+    # ``contains`` compares bytes and is much faster than the search for the place.
+    found = F.contains(F.lit(joined), key) & (F.length(key) >= min_key_len)
+    at = F.when(found, F.instr(F.lit(joined), key)).otherwise(0)
     before = F.left(F.lit(joined), at)
     around = F.when(
         (at > 0) & ~F.contains(key, F.lit("\n")),
@@ -48,12 +55,16 @@ def resolve_industry(raw: Column, aliases=seeds.COST_ALIASES, min_key_len: int =
     text is in everything); ``min_key_len`` above 0 turns that off for keys
     shorter than it.
     """
-    key = industry_key(raw)
-    return F.coalesce(
-        F.when(key.isin(*seeds.INDUSTRIES), key),
-        F.try_element_at(F.map_from_arrays(*_columns(aliases)), key),
-        first_match(key, aliases, min_key_len),
-    )
+    names, owners = _columns(aliases)
+
+    def resolve(key: Column) -> Column:
+        return F.coalesce(
+            F.when(key.isin(*seeds.INDUSTRIES), key),
+            F.try_element_at(F.map_from_arrays(names, owners), key),
+            _first_match(key, aliases, min_key_len),
+        )
+
+    return let(industry_key(raw), resolve)
 
 
 def resolve_for_prompts(raw: Column, min_key_len: int = 0) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotewright import seeds
+from quotewright.functions.binding import once
 from quotewright.functions.industry import resolve_industry
 from quotewright.functions.money import div, hundredths_text, round_div, rupees
 
@@ -19,7 +20,7 @@ def multiplier_lookup(
     requests: DataFrame, contingency_pct: int = seeds.DEFAULT_CONTINGENCY_PCT
 ) -> DataFrame:
     """Add the industry multipliers; unresolved industries get the neutral ones."""
-    resolved = requests.withColumn("industry_applied", resolve_industry(F.col("industry")))
+    resolved = once(requests, {"industry_applied": resolve_industry(F.col("industry"))})
     found = seeds.lookup(
         resolved, seeds.industry_multipliers(requests.sparkSession), "industry_applied"
     )

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quotewright.functions.binding import let, once
 from quotewright.functions.text import SPACE, clean_text, strip
-from quotewright.operators.risks import DEFAULT_LEVEL, normalise_impact
+from quotewright.operators.risks import normalise_impact
 from quotewright.operators.timeline import rescale_array
 
 # Section names and markers.
@@ -39,93 +40,66 @@ def extract_json(raw: Column) -> Column:
     return F.coalesce(_whole_json(bare), _whole_json(braces))
 
 
-def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add columns that are computed once per row.
-
-    Filters and projections that use a plain projected column repeat its
-    expression. They cannot reach through a generator, here one of a single row.
-    """
-    values = F.struct(*[c.alias(name) for name, c in columns.items()])
-    return df.select("*", F.inline(F.array(values)))
-
-
 def _kind(value: Column) -> Column:
     """The kind of a variant: OBJECT, ARRAY, STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN or VOID."""
-    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
-
-
-def _text(value: Column) -> Column:
-    """Strings cleaned, other values as JSON, null as NULL."""
-    kind = _kind(value)
-    return F.when(kind == "STRING", clean_text(F.try_variant_get(value, "$", "string"))).when(
-        kind != "VOID", F.to_json(value)
-    )
-
-
-def _is_object(value: Column) -> Column:
-    return _kind(value) == "OBJECT"
-
+    schema = F.schema_of_variant(value)
+    return F.substring_index(F.substring_index(schema, "<", 1), "(", 1)
 
-def _items(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "array<variant>")
-
-
-def _field(value: Column, name: str) -> Column:
-    return F.try_variant_get(value, f"$.{name}", "variant")
-
-
-def _phase(value: Column) -> Column:
-    return F.struct(
-        _is_object(value).alias("is_object"),
-        F.when(_is_object(value), _text(_field(value, "phase"))).otherwise(_text(value)).alias("phase"),
-        F.try_variant_get(value, "$.weeks", "double").alias("weeks"),
-        _text(_field(value, "description")).alias("description"),
-    )
-
-
-def _risk(value: Column) -> Column:
-    impact = F.coalesce(_text(_field(value, "impact")), F.lit(DEFAULT_LEVEL))
-    return F.struct(
-        _is_object(value).alias("is_object"),
-        F.when(_is_object(value), _text(_field(value, "risk"))).otherwise(_text(value)).alias("risk"),
-        F.when(_is_object(value), normalise_impact(impact)).alias("impact"),
-        _text(_field(value, "probability")).alias("probability"),
-        _text(_field(value, "mitigation")).alias("mitigation"),
-    )
 
+# The list sections and their types. A list entry that is not an
+# object reads as NULL; weeks stay untyped to tell numbers apart.
+LIST_TYPES = {
+    "timeline": "array<struct<phase:string, weeks:variant, description:string>>",
+    "risk_assessment": "array<struct<risk:string, impact:string, probability:string, mitigation:string>>",
+    "deliverables": "array<string>",
+}
 
 # Type names used in error texts, by variant kind.
-_TYPE_NAMES = (
+TYPE_NAMES = (
     ("ARRAY", "list"), ("OBJECT", "dict"), ("STRING", "str"), ("BIGINT", "int"),
     ("DECIMAL", "float"), ("DOUBLE", "float"), ("BOOLEAN", "bool"), ("VOID", "NoneType"),
 )
 
 
 def _type_name(kind: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(x) for pair in _TYPE_NAMES for x in pair]), kind)
+    return F.element_at(F.create_map(*[F.lit(x) for pair in TYPE_NAMES for x in pair]), kind)
 
 
-def _week_error(timeline: Column) -> Column:
-    """The error text for the first phase whose weeks are not a number, or NULL."""
-    kinds = F.transform(
-        F.filter(_items(timeline), _is_object),
-        lambda p: F.coalesce(_kind(_field(p, "weeks")), F.lit("BIGINT")),
-    )
-    bad = F.filter(kinds, lambda k: k.isin("STRING", "VOID", "ARRAY", "OBJECT"))
-    first = F.get(bad, F.lit(0))
-    before = F.slice(kinds, F.lit(1), F.array_position(kinds, first).cast("int") - 1)
+def _week_error(kinds: Column) -> Column:
+    """The error text for the first kind that is not a number, or NULL."""
+    bad = F.get(F.filter(kinds, lambda k: k.isin("STRING", "VOID", "ARRAY", "OBJECT")), F.lit(0))
+    before = F.slice(kinds, F.lit(1), F.array_position(kinds, bad).cast("int") - 1)
     left = F.when(F.exists(before, lambda k: k.isin("DECIMAL", "DOUBLE")), "float").otherwise("int")
-    return F.when(F.size(bad) > 0, F.concat(
+    return F.when(bad.isNotNull(), F.concat(
         F.lit("Unexpected error: TypeError: unsupported operand type(s) for +: '"), left,
-        F.lit("' and '"), _type_name(first), F.lit("'"),
+        F.lit("' and '"), _type_name(bad), F.lit("'"),
     ))
 
 
-def _is_blank(value: Column) -> Column:
+def _is_blank(value: Column, kind: Column) -> Column:
     """Values that count as no reply: empty containers and text, zero, false, null."""
-    kind = _kind(value)
-    return (kind == "VOID") | F.to_json(value).isin("{}", "[]", '""', "false") | (
-        kind.isin("BIGINT", "DECIMAL", "DOUBLE") & (F.try_variant_get(value, "$", "double") == 0)
+    number = kind.isin("BIGINT", "DECIMAL", "DOUBLE")
+    return (kind == "VOID") | F.when(number, value.try_cast("double") == 0).otherwise(
+        F.to_json(value).isin("{}", "[]", '""', "false")
+    )
+
+
+def _phase(p: Column, text: Column) -> Column:
+    return F.struct(
+        p.isNotNull().alias("is_object"),
+        clean_text(F.when(p.isNull(), text).otherwise(p["phase"])).alias("phase"),
+        p["weeks"].try_cast("double").alias("weeks"),
+        clean_text(p["description"]).alias("description"),
+    )
+
+
+def _risk(r: Column, text: Column) -> Column:
+    return F.struct(
+        r.isNotNull().alias("is_object"),
+        clean_text(F.when(r.isNull(), text).otherwise(r["risk"])).alias("risk"),
+        F.when(r.isNotNull(), normalise_impact(clean_text(r["impact"]))).alias("impact"),
+        clean_text(r["probability"]).alias("probability"),
+        clean_text(r["mitigation"]).alias("mitigation"),
     )
 
 
@@ -136,39 +110,52 @@ def parse_response(responses: DataFrame) -> DataFrame:
     column, set when the section is not a list. Nothing is shuffled, and a bad
     reply is a row with an error text, not a failed task.
     """
-    parsed = once(responses, {"_json": extract_json(F.col("raw"))})
     json, kind = F.col("_json"), F.col("_kind")
+    typed = {name: F.col(f"_{name}") for name in LIST_TYPES}
+    parsed = once(responses, {"_json": extract_json(F.col("raw"))})
     parsed = once(parsed, {
         "_kind": _kind(json),
-        "_blank": json.isNull() | _is_blank(json),
-        "_given": F.struct(*[_field(json, name).alias(name) for name in SECTIONS]),
+        **{f"_{name}": F.try_variant_get(json, f"$.{name}", kind) for name, kind in LIST_TYPES.items()},
+    })
+    week_kinds = F.transform(
+        F.filter(typed["timeline"], lambda p: p.isNotNull()),
+        lambda p: F.coalesce(_kind(p["weeks"]), F.lit("BIGINT")),
+    )
+    parsed = once(parsed, {
+        "_blank": json.isNull() | _is_blank(json, kind),
+        "_weeks": F.when(F.col("expected_weeks") > 0, week_kinds),
     })
-    given = {name: F.col(f"_given.{name}") for name in SECTIONS}
-    is_list = {name: _kind(given[name]) == "ARRAY" for name in SECTIONS}
     error = F.when(F.col("_blank"), F.lit(None).cast("string")).when(
         kind != "OBJECT",
         F.concat(
             F.lit("Unexpected error: AttributeError: '"), _type_name(kind),
             F.lit("' object has no attribute 'get'"),
         ),
-    ).when((F.col("expected_weeks") > 0) & is_list["timeline"], _week_error(given["timeline"]))
+    ).otherwise(_week_error(F.col("_weeks")))
     parsed = once(parsed, {"_error": error})
     status = F.when(F.col("_blank"), "fallback_text").when(F.col("_error").isNotNull(), "error").otherwise("ok")
     plain = F.when(F.col("_blank"), clean_text(F.col("raw"))).otherwise(F.col("_error"))
-    ok = F.col("status") == "ok"
     routed = once(parsed, {"status": status, "_plain": plain})
+    ok = F.col("status") == "ok"
 
-    columns: dict[str, Column] = {}
-    for name in SECTIONS[:2]:
-        columns[name] = F.when(
-            ok, F.when(given[name].isNull(), MISSING).otherwise(_text(given[name]))
-        ).otherwise(F.col("_plain"))
-    for name, convert in (("timeline", _phase), ("risk_assessment", _risk), ("deliverables", _text)):
-        columns[name] = F.when(ok & is_list[name], F.transform(_items(given[name]), convert))
-        columns[f"{name}_text"] = F.when(
-            ok, F.when(given[name].isNull(), MISSING).when(~is_list[name], _text(given[name]))
-        ).otherwise(F.col("_plain"))
-    sections = once(routed, columns).drop("_json", "_kind", "_blank", "_given", "_error", "_plain", "raw")
+    def text_of(name: str) -> Column:
+        absent = F.try_variant_get(json, f"$.{name}", "variant").isNull()
+        text = clean_text(F.try_variant_get(json, f"$.{name}", "string"))
+        return F.when(~ok, F.col("_plain")).when(absent, MISSING).otherwise(text)
+
+    columns = {name: text_of(name) for name in SECTIONS[:2]}
+    for name, convert in (("timeline", _phase), ("risk_assessment", _risk)):
+        # Texts of the entries, needed where one is not an object.
+        texts = F.when(
+            F.exists(typed[name], lambda e: e.isNull()), F.try_variant_get(json, f"$.{name}", "array<string>")
+        ).otherwise(F.array().cast("array<string>"))
+        columns[name] = F.when(ok, F.zip_with(typed[name], texts, convert))
+    columns["deliverables"] = F.when(ok, F.transform(typed["deliverables"], clean_text))
+    for name in SECTIONS[2:]:
+        columns[f"{name}_text"] = F.when(~ok | typed[name].isNull(), text_of(name))
+    sections = once(routed, columns).drop(
+        "_json", "_kind", "_blank", "_weeks", "_error", "_plain", "raw", *[f"_{name}" for name in LIST_TYPES]
+    )
     weeks = F.col("expected_weeks").cast("double")
     return sections.withColumn(
         "timeline", F.when(weeks > 0, rescale_array(F.col("timeline"), weeks)).otherwise(F.col("timeline"))
@@ -177,23 +164,25 @@ def parse_response(responses: DataFrame) -> DataFrame:
 
 def section_digest(sections_json: Column, limit: int = 400) -> Column:
     """One line per section: the start of a text, the size of a list, a mark for the rest."""
-    by_name = F.try_variant_get(F.try_parse_json(sections_json), "$", "map<string,variant>")
 
-    def line(name: Column) -> Column:
-        value = F.element_at(by_name, name)
+    def line(name: Column, value: Column) -> Column:
         kind = _kind(value)
-        shown = F.when(
-            kind == "STRING",
-            F.concat(F.lit('"'), F.left(F.try_variant_get(value, "$", "string"), F.lit(limit)), F.lit('..."')),
-        ).when(
-            kind == "ARRAY",
-            F.concat(F.lit("[... "), F.size(_items(value)).cast("string"), F.lit(" items ...]")),
+        text = F.concat(F.lit('"'), F.left(value.try_cast("string"), F.lit(limit)), F.lit('..."'))
+        items = F.size(value.try_cast("array<variant>")).cast("string")
+        shown = F.when(kind == "STRING", text).when(
+            kind == "ARRAY", F.concat(F.lit("[... "), items, F.lit(" items ...]"))
         ).otherwise("<...>")
         return F.concat(F.lit('  "'), name, F.lit('": '), shown)
 
-    # The variant sorts its keys; the key list keeps the order of the text.
-    lines = F.transform(F.json_object_keys(sections_json), line)
-    return F.concat(F.lit("{\n"), F.array_join(lines, ",\n"), F.lit("\n}"))
+    def lines(values: Column) -> Column:
+        # The variant sorts its keys; the key list keeps the order of the text.
+        return F.transform(
+            F.json_object_keys(sections_json),
+            lambda name: let(F.element_at(values, name), lambda value: line(name, value)),
+        )
+
+    by_name = F.try_parse_json(sections_json).try_cast("map<string,variant>")
+    return F.concat(F.lit("{\n"), F.array_join(let(by_name, lines), ",\n"), F.lit("\n}"))
 
 
 def read_sections(proposals: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotewright import seeds
+from quotewright.functions.binding import once
 from quotewright.functions.industry import resolve_industry
 from quotewright.functions.money import div
 
@@ -27,7 +28,7 @@ def estimate_team(requests: DataFrame) -> DataFrame:
     """Add ``team``, an array of roles in their fixed order. No shuffle."""
     months, users = F.col("duration_months"), F.col("expected_users")
     has_frontend = F.exists("tech_stack", lambda t: F.lower(t).isin(*seeds.FRONTEND_STACKS))
-    resolved = requests.withColumn("_team_industry", resolve_industry(F.col("industry")))
+    resolved = once(requests, {"_team_industry": resolve_industry(F.col("industry"))})
     found = seeds.lookup(
         resolved, seeds.industry_extra_roles(requests.sparkSession), "_team_industry"
     )
@@ -57,7 +58,7 @@ def team_rows(teams: DataFrame) -> DataFrame:
 
 def extra_roles_join(requests: DataFrame) -> DataFrame:
     """The industry role of each request that has one."""
-    resolved = requests.withColumn("industry_applied", resolve_industry(F.col("industry")))
+    resolved = once(requests, {"industry_applied": resolve_industry(F.col("industry"))})
     roles = seeds.industry_extra_roles(requests.sparkSession)
     return seeds.lookup(resolved, roles, "industry_applied", how="inner").select(
         "request_id", "industry_applied", "role", "headcount", "allocation"
