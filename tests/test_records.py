@@ -38,7 +38,7 @@ def test_device_rollup_equals_replay(spark, hot_rows):
     rows = sorted((
         (rng.randint(0, 500), "hot" if rng.random() < 0.4 else f"d{rng.randint(0, 20)}",
          rng.choice(["register", "record_proposal", "record_proposal", "other"]), rng.choice(["", " a ", "b", None]))
-        for _ in range(400))
+        for _ in range(400)), key=lambda r: r[0])
     found = {
         r.device_id: (r.user_name, (r.created_at - T0).seconds, (r.last_seen - T0).seconds, r.proposal_count)
         for r in history.device_rollup(events(spark, rows), hot_rows).collect()}
