@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 # --------------------------------------------------------------------------
 # The characters counted as white space (the Unicode set plus the
-# four ASCII separators), once as characters and once as a regex class.
+# four ASCII separators), as characters and as regex classes. SPACE is the fast
+# form for Java patterns and needs (?U); SPACE_CLASS is for any dialect.
 # --------------------------------------------------------------------------
 SPACE_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -18,7 +19,7 @@ SPACE_CLASS = (
     r"\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
-SPACE = f"[{SPACE_CLASS}]"
+SPACE = r"[\s\x1c-\x1f]"
 
 # --------------------------------------------------------------------------
 # Markdown and injection patterns, size limits, marker texts.
@@ -59,7 +60,7 @@ def strip(c: Column) -> Column:
 
 def normalise_text(c: Column) -> Column:
     """Trim and collapse white space to single blanks."""
-    return strip(F.regexp_replace(c, f"{SPACE}+", " "))
+    return strip(F.regexp_replace(c, f"(?U){SPACE}+", " "))
 
 
 def clean_tech_stack(items: Column) -> Column:
@@ -70,8 +71,8 @@ def clean_tech_stack(items: Column) -> Column:
 def clean_text(c: Column) -> Column:
     """Drop Markdown emphasis, headings, bullets, backticks and links."""
     c = F.replace(c, F.lit("*"), F.lit(""))
-    c = F.regexp_replace(c, HEADING, "")
-    c = F.regexp_replace(c, "(?dm)" + LINE_BULLET, "")
+    c = F.regexp_replace(c, "(?U)" + HEADING, "")
+    c = F.regexp_replace(c, "(?Udm)" + LINE_BULLET, "")
     c = F.replace(c, F.lit("`"), F.lit(""))
     c = F.regexp_replace(c, LINK, "$1")
     return normalise_text(c)
@@ -83,15 +84,15 @@ def sanitize_text(c: Column, strict: bool = False) -> Column:
     ``strict`` also catches several qualifiers in a row, which the default lets through.
     """
     pattern = INJECTION_STRICT if strict else INJECTION
-    c = F.regexp_replace(c, "(?iu)" + pattern, REDACTED)
+    c = F.regexp_replace(c, "(?iU)" + pattern, REDACTED)
     for mark, safe in (("</", "[/"), ("<|", "[|"), ("|>", "|]")):
         c = F.replace(c, F.lit(mark), F.lit(safe))
-    return strip(F.regexp_replace(c, "(?iu)" + ROLE_MARKER, "$1$2:"))
+    return strip(F.regexp_replace(c, "(?iU)" + ROLE_MARKER, "$1$2:"))
 
 
 def redact_instruction(c: Column) -> Column:
     """The narrower guard applied to edit instructions."""
-    return F.regexp_replace(normalise_text(c), "(?iu)" + EDIT_INJECTION, REDACTED)
+    return F.regexp_replace(normalise_text(c), "(?iU)" + EDIT_INJECTION, REDACTED)
 
 
 def content_tag(identity: Column, salt: str = "") -> Column:

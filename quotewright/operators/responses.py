@@ -24,20 +24,25 @@ def _whole_json(text: Column) -> Column:
     ``try_parse_json`` ignores what follows the first value, so the text is
     parsed as the first element of a pair whose second element must survive.
     """
-    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f', "{_END}"]')))
-    alone = (F.try_variant_get(pair, "$[1]", "string") == _END) & F.try_variant_get(
-        pair, "$[2]", "variant"
-    ).isNull()
-    return F.when(alone, F.try_variant_get(pair, "$[0]", "variant"))
+
+    def first(pair: Column) -> Column:
+        alone = (F.try_variant_get(pair, "$[1]", "string") == _END) & F.try_variant_get(
+            pair, "$[2]", "variant"
+        ).isNull()
+        return F.when(alone, F.try_variant_get(pair, "$[0]", "variant"))
+
+    # Text that cannot start a JSON value is not tried; a failed parse is costly.
+    candidate = F.when(text.rlike(r'^\s*[\[{"\-0-9tfn]'), text)
+    return let(F.try_parse_json(F.concat(F.lit("["), candidate, F.lit(f', "{_END}"]'))), first)
 
 
 def extract_json(raw: Column) -> Column:
     """The JSON value of a reply: without code fences, else from first to last brace."""
-    bare = strip(F.replace(
-        F.regexp_replace(raw, f"```(?:json)?{SPACE}*", ""), F.lit("```"), F.lit("")
+    unfenced = F.regexp_replace(raw, f"(?U)```(?:json)?{SPACE}*", "")
+    bare = strip(F.replace(unfenced, F.lit("```"), F.lit("")))
+    return let(bare, lambda text: F.coalesce(
+        _whole_json(text), _whole_json(F.regexp_extract(text, r"(?s)\{.*\}", 0))
     ))
-    braces = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    return F.coalesce(_whole_json(bare), _whole_json(braces))
 
 
 def _kind(value: Column) -> Column:

@@ -58,7 +58,10 @@ def _item_count(name: str, low: int, high: int | None) -> Column:
 
 
 def _with(df: DataFrame, rules: list[Column]) -> DataFrame:
-    return df.withColumn("violations", F.array_compact(F.array(*rules)))
+    # ``concat_ws`` skips NULLs in generated code; filtering an array would be interpreted.
+    codes = F.concat_ws(",", *rules)
+    none = F.array().cast("array<string>")
+    return df.withColumn("violations", F.when(codes == "", none).otherwise(F.split(codes, ",")))
 
 
 def validate_requests(requests: DataFrame) -> DataFrame:
@@ -71,8 +74,8 @@ def validate_requests(requests: DataFrame) -> DataFrame:
         rules.append(F.when(F.size("compliance_requirements") > COMPLIANCE_ITEMS,
                             "compliance_requirements:too_many"))
     rules += [_blank_text(name) for name, _, _ in CORE_TEXT]
-    rules.append(F.when((F.size("tech_stack") >= 1)
-                        & (F.size(clean_tech_stack(F.col("tech_stack"))) == 0), "tech_stack:blank"))
+    blank = strip(F.array_join("tech_stack", "")) == ""
+    rules.append(F.when((F.size("tech_stack") >= 1) & blank, "tech_stack:blank"))
     return _with(requests, rules)
 
 

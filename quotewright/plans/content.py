@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 from quotewright.functions import quick_fill as quick
 from quotewright.functions import text
 from quotewright.operators import reports, responses, risks, timeline
-from quotewright.plans.inputs import SPACE, documents, sql_normalise, sql_strip, sql_text, valid_requests, with_ctes
+from quotewright.plans.inputs import documents, sql_normalise, sql_pattern, sql_strip, sql_text, valid_requests, with_ctes
 from quotewright.plans.pricing import sql_sanitize
 from quotewright.plans.registry import query
 from quotewright.sources import tables
 
 
 def sql_clean(c: str) -> str:
-    c = f"regexp_replace(replace({c}, '*', ''), '{text.HEADING}', '', 'g')"
-    c = f"replace(regexp_replace({c}, '(?m){text.LINE_BULLET}', '', 'g'), '`', '')"
+    c = f"regexp_replace(replace({c}, '*', ''), '{sql_pattern(text.HEADING)}', '', 'g')"
+    c = f"replace(regexp_replace({c}, '(?m){sql_pattern(text.LINE_BULLET)}', '', 'g'), '`', '')"
     return sql_normalise(f"regexp_replace({c}, '{text.LINK}', '\\1', 'g')")
 
 
@@ -25,7 +25,7 @@ def clean_text(spark, sf):
     return documents(spark, sf).select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
 
 
-@query(f"""SELECT doc_id, {sql_strip(f"regexp_replace(replace(replace(replace(regexp_replace(text, '(?i){text.INJECTION}', '{text.REDACTED}', 'g'), '</', '[/'), '<|', '[|'), '|>', '|]'), '(?i){text.ROLE_MARKER}', '{chr(92)}1{chr(92)}2:', 'g')")} AS sanitized FROM documents""")
+@query(f"""SELECT doc_id, {sql_strip(f"regexp_replace(replace(replace(replace(regexp_replace(text, '(?i){sql_pattern(text.INJECTION)}', '{text.REDACTED}', 'g'), '</', '[/'), '<|', '[|'), '|>', '|]'), '(?i){sql_pattern(text.ROLE_MARKER)}', '{chr(92)}1{chr(92)}2:', 'g')")} AS sanitized FROM documents""")
 def sanitize_text(spark, sf):
     return documents(spark, sf).select("doc_id", text.sanitize_text(F.col("text")).alias("sanitized"))
 

@@ -52,7 +52,14 @@ def sql_text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-SPACE = text.SPACE
+SPACE = f"[{text.SPACE_CLASS}]"
+
+
+def sql_pattern(pattern: str) -> str:
+    """A pattern of the text rules with the space class every dialect knows."""
+    return pattern.replace(text.SPACE, SPACE)
+
+
 SPACES = "concat(" + ", ".join(f"chr({ord(c)})" for c in text.SPACE_CHARS) + ")"
 
 

@@ -8,7 +8,7 @@ from quotewright import seeds
 from quotewright.functions import dates, industry, text
 from quotewright.operators import pricing, prompts, reports, team, validation
 from quotewright.plans.inputs import (
-    COST, KB, TEAM, all_requests, edits, sql_cents, sql_normalise, sql_text, valid_requests, with_ctes,
+    COST, KB, TEAM, all_requests, edits, sql_cents, sql_normalise, sql_pattern, sql_text, valid_requests, with_ctes,
 )
 from quotewright.plans.registry import query
 from quotewright.sources import tables
@@ -321,10 +321,10 @@ def kb_lookup(spark, sf):
 
 
 def sql_sanitize(c: str) -> str:
-    redacted = f"regexp_replace({c}, '(?i){text.INJECTION}', '{text.REDACTED}', 'g')"
+    redacted = f"regexp_replace({c}, '(?i){sql_pattern(text.INJECTION)}', '{text.REDACTED}', 'g')"
     for mark, safe in (("</", "[/"), ("<|", "[|"), ("|>", "|]")):
         redacted = f"replace({redacted}, '{mark}', '{safe}')"
-    return f"trim(regexp_replace({redacted}, '(?i){text.ROLE_MARKER}', '\\1\\2:', 'g'), concat(' ', chr(9), chr(10), chr(13)))"
+    return f"trim(regexp_replace({redacted}, '(?i){sql_pattern(text.ROLE_MARKER)}', '\\1\\2:', 'g'), concat(' ', chr(9), chr(10), chr(13)))"
 
 
 def _wrap_sql(c: str) -> str:
@@ -373,7 +373,7 @@ def section_digest(spark, sf):
         "request_id", digest(F.col("current_sections")).alias("digest"))
 
 
-_REDACT_SQL = f"regexp_replace({sql_normalise('edit_instruction')}, '(?i){text.EDIT_INJECTION}', '{text.REDACTED}', 'g')"
+_REDACT_SQL = f"regexp_replace({sql_normalise('edit_instruction')}, '(?i){sql_pattern(text.EDIT_INJECTION)}', '{text.REDACTED}', 'g')"
 
 
 @query(with_ctes(f"SELECT request_id, {_REDACT_SQL} AS edit_instruction FROM edits", "edits"))

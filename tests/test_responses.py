@@ -34,6 +34,11 @@ def test_good_reply(spark):
     assert r.deliverables == ["a", "b"] and r.timeline_text is None
 
 
+def test_repeated_keys_keep_the_last_value(spark):
+    r = parse(spark, '{"executive_summary": "a", "executive_summary": "b", "timeline": "x", "timeline": "y"}')
+    assert (r.status, r.executive_summary, r.timeline_text) == ("ok", "b", "y")
+
+
 def test_missing_and_odd_sections(spark):
     r = parse(spark, json.dumps({"timeline": "# soon", "deliverables": [], "risk_assessment": ["loose *text*", {"risk": "r"}]}))
     assert (r.status, r.executive_summary, r.timeline, r.timeline_text) == ("ok", "N/A", None, "soon")
