@@ -97,7 +97,7 @@ def redact_instruction(c: Column) -> Column:
 
 def content_tag(identity: Column, salt: str = "") -> Column:
     """Eight hex digits that stay the same when a job is run again."""
-    return F.upper(F.left(F.sha2(F.concat(identity.cast("string"), F.lit(salt)), 256), F.lit(8)))
+    return F.upper(F.left(F.sha2(F.concat(identity.cast("string"), F.lit(salt)), 256), F.lit(TAG_CHARS)))
 
 
 def wrap_content(c: Column, tag: Column) -> Column:
@@ -107,12 +107,21 @@ def wrap_content(c: Column, tag: Column) -> Column:
     )
 
 
+# The pieces around a document, in order; the tag follows the first and fourth.
+DOCUMENT_FENCE = ("<UPLOADED_DOC_", ' name="', '">\n', "\n</UPLOADED_DOC_", ">")
+TAG_CHARS = 8
+
+
 def wrap_document(name: Column, c: Column, tag: Column) -> Column:
     """Fence one uploaded document between tags that carry ``tag`` and its name."""
-    return F.concat(
-        F.lit("<UPLOADED_DOC_"), tag, F.lit(' name="'), name, F.lit('">\n'),
-        c, F.lit("\n</UPLOADED_DOC_"), tag, F.lit(">"),
-    )
+    start, named, body, end, close = (F.lit(piece) for piece in DOCUMENT_FENCE)
+    return F.concat(start, tag, named, name, body, c, end, tag, close)
+
+
+def wrapped_chars(name: Column, text_chars: Column) -> Column:
+    """Length of a fenced document, known without its text."""
+    fence = sum(len(piece) for piece in DOCUMENT_FENCE) + 2 * TAG_CHARS
+    return text_chars + F.length(name) + fence
 
 
 def latin1_fold(c: Column) -> Column:

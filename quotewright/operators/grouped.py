@@ -17,24 +17,30 @@ BLOCK_ROWS = 65_536
 HOT_ROWS = 1_000_000
 
 
-def large_groups(rows: DataFrame, key: str, seq: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Keys with a second block. The filter reaches the scan and usually finds nothing."""
-    return rows.where(F.col(seq) >= block_rows).select(key).distinct()
-
-
 def in_blocks(rows: DataFrame, seq: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return rows.withColumn("_block", div(F.col(seq), block_rows))
 
 
+def heavy_rows(blocked: DataFrame, key: str) -> DataFrame:
+    """Rows of the groups that reach a second block, usually none.
+
+    Positions are dense, so there are at most rows / block_rows such groups and
+    their keys can be broadcast: the other rows are dropped where they are read.
+    """
+    keys = blocked.where(F.col("_block") >= 1).select(key).distinct()
+    return blocked.join(F.broadcast(keys), key, "left_semi")
+
+
 def with_group_sums(
-    blocked: DataFrame, large: DataFrame, key: str, seq: str, measures: dict[str, Column]
+    blocked: DataFrame, heavy: DataFrame, key: str, seq: str, measures: dict[str, Column]
 ) -> DataFrame:
     """Add ``<name>_total`` and ``<name>_before`` for every measure.
 
     ``total`` is the sum over the group and ``before`` the sum over the rows with
-    a smaller ``seq``; ``last_<seq>`` is the largest position. ``seq`` is unique
-    within ``key`` and not negative. ``blocked`` comes from ``in_blocks`` and
-    ``large`` from ``large_groups``; calls on the same blocks share one shuffle.
+    a smaller ``seq``; ``last_<seq>`` is the largest position. ``seq`` numbers the
+    rows of a group from 0 or 1 on. ``blocked`` comes from ``in_blocks``, and
+    ``heavy`` holds its rows from ``heavy_rows`` with the same columns. Calls on
+    the same blocks share one shuffle.
     """
     whole = Window.partitionBy(key, "_block")
     earlier = whole.orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
@@ -45,13 +51,9 @@ def with_group_sums(
         local[f"{name}_before"] = F.coalesce(F.sum(value).over(earlier), zero)
     windowed = blocked.withColumns(local)
 
-    sums = (
-        blocked.join(large, key, "left_semi")
-        .groupBy(key, "_block")
-        .agg(
-            F.max(seq).alias("_last"),
-            *[F.coalesce(F.sum(value), zero).alias(f"_{name}") for name, value in measures.items()],
-        )
+    sums = heavy.groupBy(key, "_block").agg(
+        F.max(seq).alias("_last"),
+        *[F.coalesce(F.sum(value), zero).alias(f"_{name}") for name, value in measures.items()],
     )
     group = Window.partitionBy(key)
     previous = group.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

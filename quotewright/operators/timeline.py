@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotewright.operators.grouped import BLOCK_ROWS, in_blocks, large_groups, with_group_sums
+from quotewright.operators.grouped import BLOCK_ROWS, heavy_rows, in_blocks, with_group_sums
 
 
 def phase_totals(phases: DataFrame) -> DataFrame:
@@ -33,16 +33,20 @@ def timeline_rescale(phases: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFra
     are flagged. If the last entry is not an object, nobody takes it.
     """
     counted = F.when(F.col("is_object"), F.coalesce("weeks", F.lit(0))).otherwise(0)
-    large = large_groups(phases, "request_id", "seq", block_rows)
     blocked = in_blocks(phases, "seq", block_rows)
-    summed = with_group_sums(blocked, large, "request_id", "seq", {"given": counted}).withColumns({
-        "_is_last": F.col("seq") == F.col("last_seq"),
-        "_keep": (F.col("given_total") == F.col("expected_weeks"))
-        | (F.col("given_total") == 0) | ~F.col("is_object"),
-        "_scaled": _scaled(F.coalesce("weeks", F.lit(0)), F.col("expected_weeks"), F.col("given_total")),
-    }).drop("given_before", "last_seq")
+    heavy = heavy_rows(blocked, "request_id")
+
+    def scaled(rows: DataFrame) -> DataFrame:
+        summed = with_group_sums(rows, heavy, "request_id", "seq", {"given": counted})
+        total, expected = F.col("given_total"), F.col("expected_weeks")
+        return summed.withColumns({
+            "_is_last": F.col("seq") == F.col("last_seq"),
+            "_keep": (total == expected) | (total == 0) | ~F.col("is_object"),
+            "_scaled": _scaled(F.coalesce("weeks", F.lit(0)), expected, total),
+        }).drop("given_before", "last_seq")
+
     used = F.when(F.col("is_object") & ~F.col("_is_last"), F.col("_scaled")).otherwise(0)
-    rescaled = with_group_sums(summed, large, "request_id", "seq", {"used": used}).withColumn(
+    rescaled = with_group_sums(scaled(blocked), scaled(heavy), "request_id", "seq", {"used": used}).withColumn(
         "new_weeks",
         F.when(F.col("_keep"), F.col("weeks").cast("bigint"))
         .when(F.col("_is_last"), F.col("expected_weeks") - F.col("used_total"))
@@ -82,10 +86,9 @@ def rescale_array(timeline: Column, expected: Column) -> Column:
 def gantt_offsets(phases: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Start and end week per phase; timelines without any positive week are left out."""
     weeks = F.coalesce("weeks", F.lit(0))
+    blocked = in_blocks(phases, "seq", block_rows)
     summed = with_group_sums(
-        in_blocks(phases, "seq", block_rows),
-        large_groups(phases, "request_id", "seq", block_rows),
-        "request_id", "seq",
+        blocked, heavy_rows(blocked, "request_id"), "request_id", "seq",
         {"weeks": weeks, "positive": F.when(weeks > 0, 1).otherwise(0)},
     )
     return summed.where("positive_total > 0").select(

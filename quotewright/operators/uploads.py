@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quotewright.functions.dates import epoch_micros, from_epoch_micros
 from quotewright.functions.money import div
 from quotewright.functions.text import (
-    content_tag, file_ext, preview_text, truncate_text, wrap_document,
+    content_tag, file_ext, preview_text, truncate_text, wrap_document, wrapped_chars,
 )
 
 # Upload limits.
@@ -50,18 +50,28 @@ def upload_admission(files: DataFrame) -> DataFrame:
     )
 
 
-def admitted(files: DataFrame) -> DataFrame:
-    """Files of accepted uploads, with their text cut to the limit."""
+def _accepted(rows: DataFrame, files: DataFrame) -> DataFrame:
     verdicts = upload_admission(files).where("accepted").select("upload_id")
-    return files.join(verdicts, "upload_id", "left_semi").withColumn("text", truncate_text(F.col("text")))
+    return rows.join(verdicts, "upload_id", "left_semi")
+
+
+def admitted(files: DataFrame) -> DataFrame:
+    """Files of accepted uploads, with their text cut to the limit and its length.
+
+    Both are computed before the join, so that whole texts are not shuffled and
+    uses of the length alone move no text at all.
+    """
+    cut = files.withColumn("text", truncate_text(F.col("text")))
+    return _accepted(cut.withColumn("text_chars", F.length("text").cast("bigint")), files)
 
 
 def upload_summary(files: DataFrame) -> DataFrame:
     """Characters kept and a preview for each admitted file."""
-    return admitted(files).select(
-        "upload_id", "pos", "filename",
-        F.length("text").alias("chars"), preview_text(F.col("text")).alias("preview"),
+    cut = truncate_text(F.col("text"))
+    shown = files.select(
+        "upload_id", "pos", "filename", F.length(cut).alias("chars"), preview_text(cut).alias("preview")
     )
+    return _accepted(shown, files)
 
 
 def _slots(timed: DataFrame) -> DataFrame:
@@ -98,15 +108,18 @@ def _timed(df: DataFrame, part_chars: Column) -> DataFrame:
     return df.withColumns({"us": us, "slot": div(us, SLOT_US), "part_chars": part_chars})
 
 
-def _parts(uploads: DataFrame, salt: str) -> DataFrame:
-    """Uploads with the wrapped text that goes into the context."""
-    tag = content_tag(F.col("device_id"), salt)
-    return uploads.withColumn("part", wrap_document(F.col("filename"), F.col("text"), tag))
+def _text_chars(uploads: DataFrame) -> Column:
+    return F.col("text_chars") if "text_chars" in uploads.columns else F.length("text").cast("bigint")
+
+
+def _part_chars(uploads: DataFrame) -> Column:
+    """Characters a document takes in the context, with the separator after it."""
+    return wrapped_chars(F.col("filename"), _text_chars(uploads)) + len(SEPARATOR)
 
 
 def upload_sessions(uploads: DataFrame) -> DataFrame:
     """Files, characters and time range of each session; a gap over ten minutes starts a new one."""
-    timed = _timed(uploads, F.length("text").cast("bigint"))
+    timed = _timed(uploads, _text_chars(uploads))
     slots = _slots(timed).select(*_KEYS, F.col("session.start_us").alias("start_us"))
     per_slot = timed.groupBy(*_KEYS).agg(
         F.count("*").alias("files"), F.sum("part_chars").alias("chars"), F.max("us").alias("last_us")
@@ -126,15 +139,14 @@ def upload_context(uploads: DataFrame, salt: str = "", chunk_chars: int = CHUNK_
     rows (``chunk``), because a single value has a size limit; ``chars_before``
     is where a row starts within the session's text.
     """
-    timed = _timed(_parts(uploads, salt), F.lit(0).cast("bigint")).withColumn(
-        "part_chars", F.length("part").cast("bigint") + len(SEPARATOR)
-    )
+    timed = _timed(uploads, _part_chars(uploads))
+    part = wrap_document(F.col("filename"), F.col("text"), content_tag(F.col("device_id"), salt))
     slots = _slots(timed.select(*_KEYS, "us", "part_chars")).select(
         *_KEYS, F.col("session.start_us").alias("start_us"),
         (F.col("chars_before") - F.col("session.chars")).alias("chars_before"),
     )
     texts = timed.groupBy(*_KEYS).agg(
-        F.sort_array(F.collect_list(F.struct("us", "upload_id", "pos", "part"))).alias("ordered")
+        F.sort_array(F.collect_list(F.struct("us", "upload_id", "pos", part.alias("part")))).alias("ordered")
     ).select(
         *_KEYS, F.size("ordered").alias("docs"),
         F.array_join(F.transform("ordered", lambda d: d["part"]), SEPARATOR).alias("text"),
@@ -152,15 +164,14 @@ def upload_context(uploads: DataFrame, salt: str = "", chunk_chars: int = CHUNK_
     )
 
 
-def request_upload_state(requests: DataFrame, uploads: DataFrame, salt: str = "") -> DataFrame:
+def request_upload_state(requests: DataFrame, uploads: DataFrame) -> DataFrame:
     """What each request sees: the open session, its documents so far and their text length.
 
     Requests and uploads are numbered together within (device, slot), and the
     slot summaries carry the rest. No request is paired with single documents.
     """
-    docs = _timed(_parts(uploads, salt), F.lit(0).cast("bigint")).select(
-        *_KEYS, "us", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("request_id"),
-        (F.length("part").cast("bigint") + len(SEPARATOR)).alias("part_chars"),
+    docs = _timed(uploads, _part_chars(uploads)).select(
+        *_KEYS, "us", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("request_id"), "part_chars"
     )
     asks = _timed(requests, F.lit(None).cast("bigint")).select(
         *_KEYS, "us", F.lit(1).alias("kind"), "request_id", "part_chars"
@@ -195,7 +206,7 @@ def request_upload_context(
 
     One row per request, or one per chunk where the session has several.
     """
-    state = request_upload_state(requests, uploads, salt)
+    state = request_upload_state(requests, uploads)
     contexts = upload_context(uploads, salt, chunk_chars).drop("docs")
     joined = state.join(contexts, ["device_id", "session_start"], "left")
     visible = F.col("context_chars") - F.col("chars_before")
