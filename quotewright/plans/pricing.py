@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quotewright import seeds
 from quotewright.functions import dates, industry, text
-from quotewright.operators import pricing, prompts, reports, team, validation
+from quotewright.operators import pricing, prompts, reports, responses, team, validation
 from quotewright.plans.inputs import (
     COST, KB, TEAM, all_requests, edits, sql_cents, sql_normalise, sql_pattern, sql_text, valid_requests, with_ctes,
 )
@@ -367,10 +367,8 @@ def valid_edits(spark, sf):
 
 @query(with_ctes(f"SELECT request_id, {DIGEST_SQL} AS digest FROM edits WHERE current_sections IS NOT NULL", "edits"))
 def section_digest(spark, sf):
-    from quotewright.operators.responses import section_digest as digest
-
     return edits(spark, sf).where("current_sections IS NOT NULL").select(
-        "request_id", digest(F.col("current_sections")).alias("digest"))
+        "request_id", responses.section_digest(F.col("current_sections")).alias("digest"))
 
 
 _REDACT_SQL = f"regexp_replace({sql_normalise('edit_instruction')}, '(?i){sql_pattern(text.EDIT_INJECTION)}', '{text.REDACTED}', 'g')"
@@ -398,9 +396,7 @@ def render_edit_prompts(spark, sf):
     FROM costs c JOIN (SELECT request_id, cast(count(*) AS int) AS roles FROM team GROUP BY request_id) t USING (request_id)""",
     "requests", "valid", "mult", "aliases", "roles", "keys", "resolved_hit", "resolved", "costs", "members", "team"))
 def proposal_projection(spark, sf):
-    from quotewright.operators.responses import parse_response
-
-    sections = parse_response(tables.view(spark, sf, tables.RAW_RESPONSES))
+    sections = responses.parse_response(tables.view(spark, sf, tables.RAW_RESPONSES))
     requests = valid_requests(spark, sf)
     full = reports.proposal_projection(sections, pricing.estimate_cost(requests), team.estimate_team(requests))
     return full.select(

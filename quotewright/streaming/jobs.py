@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotewright.operators.history import registrations
+from quotewright.operators.grouped import salted_join
 from quotewright.operators.pricing import estimate_cost
-from quotewright.operators.validation import accepted, validate_requests
+from quotewright.operators.validation import accepted, stored_user_name, validate_requests
 
 SESSION_GAP = "10 minutes"
 LATENESS = "10 minutes"
@@ -55,9 +55,6 @@ def device_delta(events: DataFrame, known: DataFrame) -> DataFrame:
     ``known`` holds (device_id, first_seen) of earlier batches. A proposal
     counts when its device was registered before it.
     """
-    from quotewright.operators.grouped import salted_join
-    from quotewright.operators.validation import stored_user_name
-
     order = F.struct("ts", "event_id")
     name = stored_user_name(F.col("user_name"))
     here = events.where("action = 'register'").groupBy("device_id").agg(
