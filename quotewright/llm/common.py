@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quotewright.session import prepare
 from quotewright.sources import scratch
@@ -58,9 +60,9 @@ def shown_id(column: str) -> Column:
     return F.when(F.col(column) != LAST_ID, F.col(column))
 
 
-def batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, Any]], schema: str) -> DataFrame:
+def batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, Any]], schema: str | StructType) -> DataFrame:
     """Arrow batches through ``fn``, which gets and returns columns by name."""
-    arrow = arrow_schema(df.sparkSession, schema)
+    arrow = arrow_schema(schema)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -77,11 +79,8 @@ def _array(values: Any, kind: pa.DataType) -> pa.Array:
     return pa.array(values, type=kind)
 
 
-def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(schema))
+def arrow_schema(schema: str | StructType) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
 def worker_value(name: str, make: Callable[[], Any]) -> Any:

@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotewright.llm import line_chunks, packing, simhash, substrings, token_counts
+from quotewright.llm import (
+    decontaminate,
+    line_chunks,
+    main_text,
+    packing,
+    quality,
+    simhash,
+    substrings,
+    token_counts,
+    toxicity,
+    vectors,
+)
 from quotewright.llm.common import table
 
 
@@ -13,6 +24,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -21,6 +36,22 @@ def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.substring_dedup(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -30,5 +61,7 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_two_fit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_token_counts, op3_simhash, op4_line_chunks, op9_substrings, op10_best_two_fit)}
-ORACLES = {"op4_line_chunks": line_chunks.SQL}
+QUERIES = {q.__name__: q for q in (
+    op1_token_counts, op2_main_text, op3_simhash, op4_line_chunks, op5_quality, op6_vectors, op7_decontaminate, op8_toxicity,
+    op9_substrings, op10_best_two_fit)}
+ORACLES = {"op4_line_chunks": line_chunks.SQL, "op6_vectors": vectors.SQL}

@@ -104,22 +104,22 @@ def _later(place: str = "first") -> F.Column:
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     """Windows that start earlier elsewhere, as ``spans`` (start, windows) of each did and text_id of ``docs``."""
     found = stored(seeds(docs, length), "seeds")
-    shared = found.groupBy("anchor").count().where("count > 1").select("anchor")
+    # written first, so that the joins read plain shuffles, whose hot keys Spark can split
+    shared = stored(found.groupBy("anchor").count().where("count > 1").select("anchor"), "shared-anchors")
     found = stored(found.join(shared, "anchor", "left_semi"), "shared-seeds")
     classes = stored(
         found.groupBy("anchor", "extension").agg(F.min(F.struct("did", "start", "text_id", "windows")).alias("first")), "seed-classes")
     copies = found.join(classes, ["anchor", "extension"]).where(_later()).select("did", "text_id", "start", "windows")
 
-    several = classes.groupBy("anchor").count().where("count > 1").select("anchor")
+    several = stored(classes.groupBy("anchor").count().where("count > 1").select("anchor"), "several-classes")
     wanted = stored(
         classes.join(several, "anchor", "left_semi").select("first.*", "anchor")
         .groupBy("did", "text_id").agg(F.collect_list(F.struct("start", "windows", "anchor")).alias("wanted")), "wanted")
     texts = with_lists(docs, wanted, "wanted", only=True)
     windows = stored(windows_of(texts, length), "windows")
-    firsts = (
+    firsts = stored(
         windows.groupBy("anchor", "window").agg(F.count("*").alias("n"), F.min(F.struct("did", "start")).alias("first"))
-        .where("n > 1").drop("n")
-    )
+        .where("n > 1").drop("n"), "first-windows")
     parts = windows.join(firsts, ["anchor", "window"]).where(_later()).select("did", "text_id", "start", F.lit(1).alias("windows"))
     return copies.union(parts).groupBy("did", "text_id").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
 
