@@ -1,24 +1,54 @@
-"""A cleaning pipeline over ``documents``: every stage calls one corpus operator."""
+"""A cleaning pipeline over ``documents``: every stage calls one corpus operator.
+
+The stages keep all columns of the documents, except that the last one returns where
+each piece of every remaining document is packed.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quotewright.llm import packing, simhash
+from quotewright.llm import decontaminate, line_chunks, packing, simhash
+from quotewright.llm import toxicity as severity
 from quotewright.llm.common import session, stored, table
 
 
-def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    session(spark)
-    return simhash.keep_first(docs)
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model does not call toxic. The model is fitted on the labelled ones among all documents."""
+    return severity.without_toxic(docs, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated line chunks; one of which nothing is left goes."""
+    cut = line_chunks.line_dedup(session_of(spark, docs))
+    return cut.where((F.col("lines_removed") == 0) | (F.trim("text") != "")).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return simhash.keep_first(session_of(spark, docs))
 
 
-def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where every piece of every document goes."""
+    return packing.best_two_fit(session_of(spark, docs))
+
+
+def session_of(spark: SparkSession, docs: DataFrame) -> DataFrame:
     session(spark)
-    return packing.best_two_fit(docs)
+    return docs
 
 
-STAGES = [("near_dedup", _near_dedup), ("packing", _packing)]
+STAGES = [
+    ("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup),
+    ("decontamination", decontamination), ("best_fit_packing", best_fit_packing),
+]
 
 #: Scores and token ids have no SQL form; the tests compare the stages with brute force.
 ORACLE_SQL = None
