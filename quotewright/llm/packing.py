@@ -29,6 +29,9 @@ RANK_BLOCK = 50_000
 #: A space that stands next to white space, or at an end of the text. The two marks
 #: count as white space in some libraries only.
 LOOSE = re.compile("[\\s᠎﻿] | [\\s᠎﻿]|^ | $")
+#: A word of Latin letters with its leading space, signs behind it, and perhaps a line
+#: break and what follows: one pre-token each.
+PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)(?:\n(\S+))?")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -37,8 +40,26 @@ class WordIds(Memo):
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        super().__init__(self.encode)
+        # byte-level models see every byte as a printable character: itself, or one above 255
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.printable = {b: 256 + n for n, b in enumerate(hidden)}
+        super().__init__(self.word)
+
+    def word(self, text: str) -> bytes:
+        """Ids of a word; a plain one skips the search for pre-tokens."""
+        parts = PLAIN.fullmatch(text)
+        if not parts:
+            return self.encode(text)
+        stem, signs, more = parts.groups()
+        if more:
+            return self[stem + signs] + self["\n"] + self[more]
+        if signs:
+            return self[stem] + self[signs]
+        tokens = self.model.tokenize(stem.encode().decode("latin-1").translate(self.printable))
+        return b"".join([t.id.to_bytes(4, "little") for t in tokens])
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
