@@ -28,7 +28,7 @@ def _first(c: Column, pattern: str) -> Column:
 
 
 def quick_fill(lines: DataFrame) -> DataFrame:
-    """Add the request fields found in ``txt``."""
+    """Add the request fields found in ``txt``; lines without any text are refused and left out."""
     txt = F.col("txt")
     title = strip(F.coalesce(
         F.when(txt.rlike("(?i)" + TITLE), _first(txt, TITLE)).otherwise(_first(txt, TITLE_TO_END)),
@@ -38,7 +38,7 @@ def quick_fill(lines: DataFrame) -> DataFrame:
         _first(txt, USERS), F.replace(F.lower(_first(txt, USERS_K)), F.lit("k"), F.lit("000"))
     )
     stack = F.regexp_extract_all(txt, F.lit("(?i)" + STACK), F.lit(1))
-    return lines.withColumns({
+    return lines.where(strip(txt) != "").withColumns({
         "project_title": title,
         "client_name": F.when(title.contains("Inc") | title.contains("Corp"), title).otherwise(""),
         "industry": F.coalesce(_first(F.lower(txt), INDUSTRY), F.lit(DEFAULTS["industry"])),

@@ -95,8 +95,13 @@ def redact_instruction(c: Column) -> Column:
     return F.regexp_replace(normalise_text(c), "(?iU)" + EDIT_INJECTION, REDACTED)
 
 
-def content_tag(identity: Column, salt: str = "") -> Column:
-    """Eight hex digits that stay the same when a job is run again."""
+def content_tag(identity: Column, salt: str) -> Column:
+    """Eight hex digits that stay the same when a job is run again with the same secret ``salt``.
+
+    Without the salt the tag could be computed, and the fence closed, from outside.
+    """
+    if not salt or not salt.strip():
+        raise ValueError("content_tag needs a salt")
     return F.upper(F.left(F.sha2(F.concat(identity.cast("string"), F.lit(salt)), 256), F.lit(TAG_CHARS)))
 
 

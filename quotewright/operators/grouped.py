@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from quotewright.functions.money import div
 
 BLOCK_ROWS = 65_536
-HOT_ROWS = 1_000_000
 
 
 def in_blocks(rows: DataFrame, seq: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -24,11 +23,11 @@ def in_blocks(rows: DataFrame, seq: str, block_rows: int = BLOCK_ROWS) -> DataFr
 def heavy_rows(blocked: DataFrame, key: str) -> DataFrame:
     """Rows of the groups that reach a second block, usually none.
 
-    Positions are dense, so there are at most rows / block_rows such groups and
-    their keys can be broadcast: the other rows are dropped where they are read.
+    Their keys are few where positions are dense; the adaptive planner broadcasts
+    them when they measure small.
     """
     keys = blocked.where(F.col("_block") >= 1).select(key).distinct()
-    return blocked.join(F.broadcast(keys), key, "left_semi")
+    return blocked.join(keys, key, "left_semi")
 
 
 def with_group_sums(
@@ -68,25 +67,3 @@ def with_group_sums(
         final[f"{name}_total"] = F.coalesce(f"_fix_{name}_total", f"{name}_total")
         final[f"{name}_before"] = F.col(f"{name}_before") + F.coalesce(f"_fix_{name}_before", zero)
     return joined.withColumns(final).drop(*[c for c in joined.columns if c.startswith("_fix_")])
-
-
-def salted_join(
-    facts: DataFrame, dim: DataFrame, key: str, spread: str, how: str = "left", hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Join on ``key`` with the rows of heavy keys spread over several tasks.
-
-    A key with more than ``hot_rows`` rows gets one salt per ``hot_rows``, and its
-    row in ``dim`` is repeated once per salt. At most rows / hot_rows keys are
-    heavy, so their list is small. Unlike the adaptive skew join this also works
-    when an aggregate on ``key`` follows.
-    """
-    counts = facts.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
-    heavy = F.broadcast(counts.select(key, F.ceil(F.col("_n") / hot_rows).alias("_salts")))
-    salts = F.coalesce("_salts", F.lit(1))
-    left = facts.join(heavy, key, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(spread), salts)
-    ).drop("_salts")
-    right = dim.join(heavy, key, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))
-    ).drop("_salts")
-    return left.join(right, [key, "_salt"], how).drop("_salt")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotewright.functions.text import size_kb
-from quotewright.operators.grouped import HOT_ROWS, salted_join
 from quotewright.operators.responses import _whole_json
 from quotewright.operators.validation import stored_user_name
 
@@ -24,17 +23,26 @@ def registrations(events: DataFrame) -> DataFrame:
     )
 
 
-def device_rollup(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One row per registered device; only proposals after its registration count."""
+def device_rollup(events: DataFrame) -> DataFrame:
+    """One row per registered device; only proposals after its registration count.
+
+    Proposals are counted per device and hour before they meet the registration, so a
+    device with very many shrinks where it is read. Single rows matter only in the hour
+    of the registration itself.
+    """
     devices = registrations(events)
-    proposals = events.where("action = 'record_proposal'").select("device_id", "ts", "event_id")
-    first = devices.select("device_id", "first_seen")
-    counted = (
-        salted_join(proposals, first, "device_id", "event_id", "inner", hot_rows)
+    hour = F.date_trunc("hour", "ts")
+    proposals = events.where("action = 'record_proposal'").select("device_id", "ts", "event_id", hour.alias("hour"))
+    first = devices.select("device_id", "first_seen", F.date_trunc("hour", F.col("first_seen.ts")).alias("first_hour"))
+    hourly = proposals.groupBy("device_id", "hour").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    later = hourly.join(first, "device_id").where("hour > first_hour").select("device_id", "n", "last")
+    same = (
+        proposals.join(first.withColumnRenamed("first_hour", "hour"), ["device_id", "hour"])
         .where(F.struct("ts", "event_id") > F.col("first_seen"))
-        .groupBy("device_id")
-        .agg(F.count("*").alias("proposal_count"), F.max("ts").alias("last_proposal"))
+        .groupBy("device_id").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
     )
+    counted = later.unionByName(same).groupBy("device_id").agg(
+        F.sum("n").alias("proposal_count"), F.max("last").alias("last_proposal"))
     return devices.join(counted, "device_id", "left").select(
         "device_id",
         F.coalesce("user_name", F.lit("")).alias("user_name"),
@@ -48,7 +56,8 @@ def history_top_n(proposals: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame
     """Newest ``limit`` proposals per device.
 
     Each input partition keeps only its own newest rows before the shuffle, so a
-    device with very many proposals does not reach one task whole.
+    device with very many proposals does not reach one task whole. Spark does so for a
+    ``limit`` below its spark.sql.window.group.limit threshold, 1000 unless set.
     """
     newest = Window.partitionBy("device_id").orderBy(F.desc("created_at"), F.desc("id"))
     return proposals.withColumn("position", F.row_number().over(newest)).where(F.col("position") <= limit)
@@ -86,10 +95,15 @@ def history_artifacts(proposals: DataFrame, artifacts: DataFrame, limit: int = H
 
 
 def owned_sections(wanted: DataFrame, proposals: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
-    """Sections of the wanted (device_id, id) pairs that are in the device's history."""
-    history = history_top_n(proposals, limit).select("device_id", "id", "sections_json")
-    stored = history.withColumn("sections", _whole_json(F.col("sections_json"))).where(
+    """Sections of the wanted (device_id, id) pairs that are in the device's history.
+
+    Only devices asked for are ranked, by id and time alone; sections are fetched and
+    parsed for the pairs that remain.
+    """
+    asked = proposals.select("device_id", "id", "created_at").join(wanted.select("device_id").distinct(), "device_id", "left_semi")
+    kept = history_top_n(asked, limit).select("device_id", "id").join(wanted, ["device_id", "id"], "left_semi")
+    found = proposals.select("device_id", "id", "sections_json").join(kept, ["device_id", "id"], "left_semi")
+    return found.withColumn("sections", _whole_json(F.col("sections_json"))).where(
         F.col("sections").isNotNull()
         & ~F.to_json("sections").isin("{}", "[]", '""', "0", "false", "null")
-    )
-    return stored.join(wanted, ["device_id", "id"], "left_semi").drop("sections_json")
+    ).drop("sections_json")

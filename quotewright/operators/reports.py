@@ -49,7 +49,7 @@ def portfolio_shares(estimates: DataFrame) -> DataFrame:
     positive = F.filter(_components(), lambda c: c["amount"] > 0)
     whole = F.aggregate(positive, F.lit(0).cast("decimal(38,0)"), lambda acc, c: (acc + c["amount"]).cast("decimal(38,0)"))
     return totals.select(whole.alias("whole"), F.inline(positive)).select(
-        "pos", "component", F.col("amount").cast("bigint").alias("amount"),
+        "pos", "component", "amount",
         F.round(F.col("amount") * 1000 / F.col("whole"), 0).cast("bigint").alias("share_permille"),
     )
 
@@ -125,10 +125,9 @@ def team_table_rows(rows: DataFrame) -> DataFrame:
     return rows.select("request_id", "pos", "role", F.col("headcount").cast("string").alias("headcount"), "allocation")
 
 
-def risk_rows(sections: DataFrame) -> DataFrame:
+def risk_rows(sections: DataFrame, has_team: bool) -> DataFrame:
     """Risk table rows; the section number depends on whether a team is shown."""
-    has_team = F.size("team") > 0 if "team" in sections.columns else F.lit(False)
-    number = F.when(has_team, 8).otherwise(7)
+    number = F.lit(8 if has_team else 7)
     return sections.select(
         "request_id", number.alias("section_no"), F.posexplode("risk_assessment").alias("pos", "r")
     ).select(

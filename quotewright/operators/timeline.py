@@ -89,11 +89,11 @@ def gantt_offsets(phases: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     blocked = in_blocks(phases, "seq", block_rows)
     summed = with_group_sums(
         blocked, heavy_rows(blocked, "request_id"), "request_id", "seq",
-        {"weeks": weeks, "positive": F.when(weeks > 0, 1).otherwise(0)},
+        {"weeks": weeks, "positive": F.when(weeks > 0, 1).otherwise(0), "rows": F.lit(1)},
     )
     return summed.where("positive_total > 0").select(
         "request_id", "seq",
-        F.coalesce("phase", F.concat(F.lit("Phase "), F.col("seq").cast("string"))).alias("phase"),
+        F.coalesce("phase", F.concat(F.lit("Phase "), (F.col("rows_before") + 1).cast("string"))).alias("phase"),
         F.col("weeks_before").alias("start_week"),
         (F.col("weeks_before") + weeks).alias("end_week"),
         weeks.alias("weeks"),

@@ -1,6 +1,6 @@
 """Uploaded documents: admission, sessions of ten minutes, and prompt context.
 
-Sessions come from one-minute slots. All uploads of a device within a slot are
+Sessions come from one-second slots. All uploads of a device within a slot are
 in the same session, so gaps are looked for between slot summaries. Their number
 per device depends on the time covered, not on how much was uploaded.
 """
@@ -22,8 +22,7 @@ MAX_BYTES = 15 * 1024 * 1024
 EXTENSIONS = (".pdf", ".doc", ".docx", ".xls", ".xlsx")
 TTL_US = 600 * 1_000_000
 
-SLOT_US = 60 * 1_000_000
-CHUNK_CHARS = 64 * 1024 * 1024
+SLOT_US = 1_000_000
 SEPARATOR = "\n\n"
 _KEYS = ["device_id", "slot"]
 
@@ -51,8 +50,8 @@ def upload_admission(files: DataFrame) -> DataFrame:
 
 
 def _accepted(rows: DataFrame, files: DataFrame) -> DataFrame:
-    verdicts = upload_admission(files).where("accepted").select("upload_id")
-    return rows.join(verdicts, "upload_id", "left_semi")
+    verdicts = upload_admission(files).where("accepted").select("device_id", "upload_id")
+    return rows.join(verdicts, ["device_id", "upload_id"], "left_semi")
 
 
 def admitted(files: DataFrame) -> DataFrame:
@@ -69,9 +68,9 @@ def upload_summary(files: DataFrame) -> DataFrame:
     """Characters kept and a preview for each admitted file."""
     cut = truncate_text(F.col("text"))
     shown = files.select(
-        "upload_id", "pos", "filename", F.length(cut).alias("chars"), preview_text(cut).alias("preview")
+        "device_id", "upload_id", "pos", "filename", F.length(cut).alias("chars"), preview_text(cut).alias("preview")
     )
-    return _accepted(shown, files)
+    return _accepted(shown, files).select("upload_id", "pos", "filename", "chars", "preview")
 
 
 def _slots(timed: DataFrame) -> DataFrame:
@@ -117,9 +116,14 @@ def _part_chars(uploads: DataFrame) -> Column:
     return wrapped_chars(F.col("filename"), _text_chars(uploads)) + len(SEPARATOR)
 
 
+def owned(rows: DataFrame) -> DataFrame:
+    """Rows of a known device. Uploads without one belong to nobody and are in no session."""
+    return rows.where(F.col("device_id") != "")
+
+
 def upload_sessions(uploads: DataFrame) -> DataFrame:
     """Files, characters and time range of each session; a gap over ten minutes starts a new one."""
-    timed = _timed(uploads, _text_chars(uploads))
+    timed = _timed(owned(uploads), _text_chars(uploads))
     slots = _slots(timed).select(*_KEYS, F.col("session.start_us").alias("start_us"))
     per_slot = timed.groupBy(*_KEYS).agg(
         F.count("*").alias("files"), F.sum("part_chars").alias("chars"), F.max("us").alias("last_us")
@@ -132,35 +136,22 @@ def upload_sessions(uploads: DataFrame) -> DataFrame:
     )
 
 
-def upload_context(uploads: DataFrame, salt: str = "", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """All documents of each session in order of arrival, as prompt text.
+def upload_context(uploads: DataFrame, salt: str) -> DataFrame:
+    """Every document of each session as prompt text, with its position by arrival.
 
-    A session is one row. Only one above ``chunk_chars`` is continued in further
-    rows (``chunk``), because a single value has a size limit; ``chars_before``
-    is where a row starts within the session's text.
+    A request sees the first ``docs_available`` of them (``request_upload_state``),
+    joined by SEPARATOR.
     """
-    timed = _timed(uploads, _part_chars(uploads))
+    timed = _timed(owned(uploads), _part_chars(uploads))
     part = wrap_document(F.col("filename"), F.col("text"), content_tag(F.col("device_id"), salt))
     slots = _slots(timed.select(*_KEYS, "us", "part_chars")).select(
         *_KEYS, F.col("session.start_us").alias("start_us"),
-        (F.col("chars_before") - F.col("session.chars")).alias("chars_before"),
+        (F.col("docs_before") - F.col("session.docs")).alias("before"),
     )
-    texts = timed.groupBy(*_KEYS).agg(
-        F.sort_array(F.collect_list(F.struct("us", "upload_id", "pos", part.alias("part")))).alias("ordered")
-    ).select(
-        *_KEYS, F.size("ordered").alias("docs"),
-        F.array_join(F.transform("ordered", lambda d: d["part"]), SEPARATOR).alias("text"),
-    )
-    return texts.join(slots, _KEYS).groupBy(
-        "device_id", "start_us", div(F.col("chars_before"), chunk_chars).alias("chunk")
-    ).agg(
-        F.sum("docs").alias("docs"),
-        F.min("chars_before").alias("chars_before"),
-        F.sort_array(F.collect_list(F.struct("slot", "text"))).alias("ordered"),
-    ).select(
-        "device_id", from_epoch_micros(F.col("start_us")).alias("session_start"), "chunk", "docs",
-        "chars_before",
-        F.array_join(F.transform("ordered", lambda s: s["text"]), SEPARATOR).alias("context"),
+    here = F.row_number().over(Window.partitionBy(*_KEYS).orderBy("us", "upload_id", "pos"))
+    return timed.withColumn("here", here).join(slots, _KEYS).select(
+        "device_id", from_epoch_micros(F.col("start_us")).alias("session_start"),
+        (F.col("before") + F.col("here")).alias("position"), part.alias("part"),
     )
 
 
@@ -169,11 +160,13 @@ def request_upload_state(requests: DataFrame, uploads: DataFrame) -> DataFrame:
 
     Requests and uploads are numbered together within (device, slot), and the
     slot summaries carry the rest. No request is paired with single documents.
+    A request without a device sees nothing.
     """
-    docs = _timed(uploads, _part_chars(uploads)).select(
+    docs = _timed(owned(uploads), _part_chars(uploads)).select(
         *_KEYS, "us", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("request_id"), "part_chars"
     )
-    asks = _timed(requests, F.lit(None).cast("bigint")).select(
+    known = F.coalesce(F.col("device_id") != "", F.lit(False))
+    asks = _timed(requests.where(known), F.lit(None).cast("bigint")).select(
         *_KEYS, "us", F.lit(1).alias("kind"), "request_id", "part_chars"
     )
     both = docs.unionByName(asks)
@@ -188,7 +181,7 @@ def request_upload_state(requests: DataFrame, uploads: DataFrame) -> DataFrame:
     session = F.when(F.col("docs_here") > 0, F.col("session")).when(
         F.col("us") - F.col("last_before") <= TTL_US, F.col("session_before")
     )
-    return local.join(_slots(both), _KEYS).withColumn("_seen", session).select(
+    found = local.join(_slots(both), _KEYS).withColumn("_seen", session).select(
         "request_id", "device_id",
         from_epoch_micros(F.col("_seen.start_us")).alias("session_start"),
         F.coalesce(F.col("docs_before") + F.col("docs_here") - F.col("_seen.docs"), F.lit(0)).alias("docs_available"),
@@ -197,22 +190,8 @@ def request_upload_state(requests: DataFrame, uploads: DataFrame) -> DataFrame:
             F.lit(0),
         ).alias("context_chars"),
     )
-
-
-def request_upload_context(
-    requests: DataFrame, uploads: DataFrame, salt: str = "", chunk_chars: int = CHUNK_CHARS
-) -> DataFrame:
-    """The context text of each request: a prefix of its session's text.
-
-    One row per request, or one per chunk where the session has several.
-    """
-    state = request_upload_state(requests, uploads)
-    contexts = upload_context(uploads, salt, chunk_chars).drop("docs")
-    joined = state.join(contexts, ["device_id", "session_start"], "left")
-    visible = F.col("context_chars") - F.col("chars_before")
-    return joined.where(
-        F.col("chunk").isNull() | (F.col("chunk") == 0) | (visible > 0)
-    ).withColumns({
-        "chunk": F.coalesce("chunk", F.lit(0)),
-        "context": F.coalesce(F.left(F.col("context"), visible.cast("int")), F.lit("")),
-    }).drop("chars_before")
+    nothing = requests.where(~known).select(
+        "request_id", "device_id", F.lit(None).cast(found.schema["session_start"].dataType).alias("session_start"),
+        F.lit(0).cast("bigint").alias("docs_available"), F.lit(0).cast("bigint").alias("context_chars"),
+    )
+    return found.unionByName(nothing)

@@ -63,7 +63,7 @@ def ellipsis_label(spark, sf):
         "request_id", "risk_id", "line_no", text.ellipsis_label(F.col("risk")).alias("label"))
 
 
-# Each line of a document is a table row, and tabs or double blanks split its cells.
+# Each line of a document is a table row, and a comma with a blank splits its cells.
 @query(f"""SELECT doc_id, row_no, doc_row, sheet_row FROM (
     SELECT doc_id, row_no, array_to_string(list_filter(list_transform(cells, lambda x: {sql_strip('x')}), lambda x: x <> ''), ' | ') AS doc_row,
            CASE WHEN len(list_filter(cells, lambda x: x <> '')) > 0 THEN array_to_string(cells, ' | ') END AS sheet_row
@@ -167,10 +167,9 @@ def timeline_rows(spark, sf):
 
 
 @query(with_ctes(f"""SELECT request_id, 8 AS section_no, 0 AS pos, 'r' AS risk, 'Medium' AS impact, '-' AS probability, '' AS mitigation
-    FROM raw_responses JOIN valid USING (request_id) WHERE {_OK}""", "requests", "valid", "raw_responses"))
+    FROM raw_responses WHERE {_OK}""", "raw_responses"))
 def risk_rows(spark, sf):
-    teams = estimate_team(valid_requests(spark, sf)).select("request_id", "team")
-    return reports.risk_rows(ok_sections(spark, sf).join(teams, "request_id"))
+    return reports.risk_rows(ok_sections(spark, sf), has_team=True)
 
 
 _IMPACT = "CASE lower(trim(impact)) WHEN 'high' THEN 'High' WHEN 'low' THEN 'Low' ELSE 'Medium' END"

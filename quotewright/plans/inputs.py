@@ -12,6 +12,10 @@ from quotewright.operators.validation import accepted, validate_requests
 from quotewright.sources import tables
 
 
+#: Secret of the queries' content tags; a deployment uses its own.
+SALT = "query-salt"
+
+
 def with_lists(requests: DataFrame) -> DataFrame:
     return requests.withColumns({
         "tech_stack": F.split("tech_text", ","),
@@ -156,13 +160,13 @@ CTES["verdicts"] = """
     GROUP BY device_id, upload_id"""
 CTES["kept"] = """
     SELECT u.* REPLACE (CASE WHEN length(u.text) > 12000 THEN concat(left(u.text, 12000), chr(10), '... [truncated to 12000 chars]') ELSE u.text END AS text)
-    FROM uploads u JOIN verdicts v USING (upload_id) WHERE v.accepted"""
-CTES["parts"] = """
+    FROM uploads u JOIN verdicts v USING (device_id, upload_id) WHERE v.accepted"""
+CTES["parts"] = f"""
     SELECT *, max(CASE WHEN gap IS NULL OR gap > 600000000 THEN ts_us END) OVER (PARTITION BY device_id ORDER BY ts_us, upload_id, pos) AS start_us
     FROM (SELECT device_id, upload_id, pos, ts_us, text,
             concat('<UPLOADED_DOC_', tag, ' name="', filename, '">', chr(10), text, chr(10), '</UPLOADED_DOC_', tag, '>') AS part,
             ts_us - lag(ts_us) OVER (PARTITION BY device_id ORDER BY ts_us, upload_id, pos) AS gap
-          FROM (SELECT *, upper(left(sha256(device_id), 8)) AS tag FROM kept) k) g"""
+          FROM (SELECT *, upper(left(sha256(concat(device_id, '{SALT}')), 8)) AS tag FROM kept WHERE device_id <> '') k) g"""
 
 
 def with_ctes(select: str, *names: str) -> str:

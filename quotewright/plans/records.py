@@ -149,14 +149,13 @@ def reference_documents(spark, sf):
     return inputs.uploads(spark, sf).select("doc_id", "filename", F.length("text").alias("chars"), "text")
 
 
-@query(with_ctes("""SELECT device_id, epoch_us_start AS start_us, docs, cast(length(context) AS int) AS chars, md5(context) AS context_md5 FROM (
-    SELECT device_id, start_us AS epoch_us_start, count(*) AS docs, string_agg(part, chr(10) || chr(10) ORDER BY ts_us, upload_id, pos) AS context
-    FROM parts GROUP BY device_id, start_us) c""", *UPLOAD, "parts"))
+@query(with_ctes("""SELECT device_id, start_us, row_number() OVER (PARTITION BY device_id, start_us ORDER BY ts_us, upload_id, pos) AS position,
+    cast(length(part) AS int) AS chars, md5(part) AS part_md5 FROM parts""", *UPLOAD, "parts"))
 def upload_context(spark, sf):
-    contexts = uploads.upload_context(uploads.admitted(inputs.uploads(spark, sf)))
+    contexts = uploads.upload_context(uploads.admitted(inputs.uploads(spark, sf)), inputs.SALT)
     return contexts.select(
-        "device_id", dates.epoch_micros(F.col("session_start")).alias("start_us"), "docs",
-        F.length("context").alias("chars"), F.md5("context").alias("context_md5"))
+        "device_id", dates.epoch_micros(F.col("session_start")).alias("start_us"), "position",
+        F.length("part").alias("chars"), F.md5("part").alias("part_md5"))
 
 
 @query(with_ctes("""SELECT device_id, start_us, max(ts_us) + 600000000 AS end_us, count(*) AS files, cast(sum(length(text)) AS bigint) AS chars
@@ -168,7 +167,7 @@ def upload_sessions(spark, sf):
         dates.epoch_micros(F.col("session_end")).alias("end_us"), "files", "chars")
 
 
-@query(with_ctes("""SELECT request_id, device_id, start_us, docs AS docs_available, cast(length(context) AS int) AS chars, md5(context) AS context_md5 FROM (
+@query(with_ctes("""SELECT request_id, device_id, start_us, docs AS docs_available, cast(length(context) AS bigint) AS chars FROM (
     SELECT q.request_id, q.device_id, s.start_us, count(p.part) AS docs,
            coalesce(string_agg(p.part, chr(10) || chr(10) ORDER BY p.ts_us, p.upload_id, p.pos), '') AS context
     FROM upload_requests q
@@ -178,10 +177,10 @@ def upload_sessions(spark, sf):
     GROUP BY q.request_id, q.device_id, s.start_us) c""", *UPLOAD, "parts", "upload_requests"))
 def request_upload_context(spark, sf):
     docs = uploads.admitted(inputs.uploads(spark, sf))
-    found = uploads.request_upload_context(inputs.upload_requests(spark, sf), docs)
+    found = uploads.request_upload_state(inputs.upload_requests(spark, sf), docs)
     return found.select(
         "request_id", "device_id", dates.epoch_micros(F.col("session_start")).alias("start_us"), "docs_available",
-        F.length("context").alias("chars"), F.md5("context").alias("context_md5"))
+        F.col("context_chars").alias("chars"))
 
 
 @query(with_ctes("""SELECT request_id, project_title, trim(industry) AS industry, duration_months, expected_users, 'ollama' AS provider,
@@ -217,11 +216,6 @@ def read_cost_reports(spark, sf):
         "details.duration_months", "details.contingency_pct")
 
 
-@query()
-def list_artifacts(spark, sf):
-    return files.artifact_order(files.list_artifacts(spark, sf, "*.parquet"))
-
-
 @query(with_ctes("""SELECT request_id AS id, device_id, client_name, coalesce(nullif(provider, ''), 'ollama') AS provider, 'auto' AS model,
     CASE WHEN request_id % 7 <> 5 THEN raw END AS sections_json, strftime(created_at, '%Y-%m') AS created_month
     FROM requests JOIN raw_responses USING (request_id)""", "requests", "raw_responses"))

@@ -33,7 +33,7 @@ def stream_device_state(spark, sf):
     arriving = spark.sql(tables.DEVICE_EVENTS, events=stream_table(spark, sf, "events"))
     table = scratch.fresh_path(spark, "devices")
     jobs.stream_device_state(arriving, table, scratch.fresh_path(spark, "devices-state"))
-    return _shown(jobs.device_state(jobs.read_deltas(spark, table)))
+    return _shown(jobs.device_state(spark, table))
 
 
 @query(with_ctes("""SELECT device_id, epoch_us(start_ts) AS start_us, epoch_us(last_ts) + 600000000 AS end_us, files FROM (
@@ -45,7 +45,7 @@ def stream_device_state(spark, sf):
 def stream_upload_sessions(spark, sf):
     arriving = spark.sql(tables.DEVICE_EVENTS, events=stream_table(spark, sf, "events")).where("action = 'upload'")
     out = scratch.fresh_path(spark, "sessions")
-    jobs.stream_upload_sessions(arriving, out, scratch.fresh_path(spark, "sessions-state"))
+    jobs.stream_upload_sessions(arriving, out, scratch.fresh_path(spark, "sessions-state"), "10 minutes")
     return spark.read.parquet(out).select(
         "device_id", dates.epoch_micros(F.col("session_start")).alias("start_us"),
         dates.epoch_micros(F.col("session_end")).alias("end_us"), "files")

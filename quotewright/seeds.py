@@ -23,42 +23,47 @@ TOP_TIER_PAISE = 1_700
 
 # --------------------------------------------------------------------------
 # Development %, infrastructure %, contingency % per industry.
-# The reason wording is our own.
 # --------------------------------------------------------------------------
-MULTIPLIERS = (
-    ("healthcare", 135, 125, 15, "Patient-data rules, clinical interfaces and audit logging"),
-    ("finance", 140, 130, 15, "Card and audit regulation with always-on systems"),
-    ("fintech", 135, 125, 15, "Licensed payment flows processed in real time"),
-    ("insurance", 130, 120, 15, "Actuarial models, supervision and older policy systems"),
-    ("pharmaceuticals", 140, 120, 15, "Validated systems and traceable trial data"),
-    ("ecommerce", 110, 130, 12, "Traffic peaks, checkout security and edge caching"),
-    ("retail", 110, 115, 10, "Store, till and stock systems working together"),
-    ("education", 100, 110, 10, "Common web platform plus course management"),
-    ("manufacturing", 125, 120, 12, "Shop-floor equipment joined to planning systems"),
-    ("logistics", 115, 120, 12, "Live tracking, device feeds and routing"),
-    ("real estate", 110, 110, 10, "Property records, maps and contracts"),
-    ("telecom", 130, 135, 15, "Carrier-grade uptime and network interfaces"),
-    ("energy", 125, 125, 15, "Grid control links and sector regulation"),
-    ("automotive", 130, 120, 12, "Safety-rated embedded software and connected vehicles"),
-    ("media", 110, 130, 10, "Delivery networks, rights control and live peaks"),
-    ("gaming", 120, 135, 12, "Low-delay servers and cheat prevention"),
-    ("agriculture", 105, 110, 10, "Field sensors and patchy rural networks"),
-    ("government", 120, 115, 15, "Cleared staff, accessibility and older systems"),
-    ("hospitality", 105, 110, 10, "Property systems and reservations across sites"),
-    ("construction", 115, 110, 12, "Building models, site mobility and safety rules"),
-    ("legal", 120, 110, 12, "Document discovery under confidentiality"),
-    ("hr", 100, 105, 10, "Common people platform with staff privacy"),
-    ("nonprofit", 90, 100, 10, "Lean budget on a common web platform"),
-    ("saas", 115, 120, 12, "Tenant isolation, control audits and growth"),
-    ("cloud", 115, 125, 12, "Several providers and spend control"),
-    ("cybersecurity", 135, 120, 15, "Security tooling, monitoring centre and control frameworks"),
-    ("travel", 110, 120, 12, "Distribution links, reservations and seasonal peaks"),
-    ("food", 105, 115, 10, "Delivery operations, cold chain and food safety"),
-    ("sports", 110, 120, 10, "Event-day load and supporter analytics"),
-    ("blockchain", 130, 115, 15, "Contract audits, nodes and security review"),
-    ("ai_ml", 130, 135, 15, "Accelerators, training platform and model operations"),
+_PERCENTAGES = (
+    ("healthcare", 135, 125, 15),
+    ("finance", 140, 130, 15),
+    ("fintech", 135, 125, 15),
+    ("insurance", 130, 120, 15),
+    ("pharmaceuticals", 140, 120, 15),
+    ("ecommerce", 110, 130, 12),
+    ("retail", 110, 115, 10),
+    ("education", 100, 110, 10),
+    ("manufacturing", 125, 120, 12),
+    ("logistics", 115, 120, 12),
+    ("real estate", 110, 110, 10),
+    ("telecom", 130, 135, 15),
+    ("energy", 125, 125, 15),
+    ("automotive", 130, 120, 12),
+    ("media", 110, 130, 10),
+    ("gaming", 120, 135, 12),
+    ("agriculture", 105, 110, 10),
+    ("government", 120, 115, 15),
+    ("hospitality", 105, 110, 10),
+    ("construction", 115, 110, 12),
+    ("legal", 120, 110, 12),
+    ("hr", 100, 105, 10),
+    ("nonprofit", 90, 100, 10),
+    ("saas", 115, 120, 12),
+    ("cloud", 115, 125, 12),
+    ("cybersecurity", 135, 120, 15),
+    ("travel", 110, 120, 12),
+    ("food", 105, 115, 10),
+    ("sports", 110, 120, 10),
+    ("blockchain", 130, 115, 15),
+    ("ai_ml", 130, 135, 15),
 )
 
+
+def _reason(dev: int, infra: int, contingency: int) -> str:
+    return f"Development at {dev} %, infrastructure at {infra} %, contingency at {contingency} %"
+
+
+MULTIPLIERS = tuple((*row, _reason(*row[1:])) for row in _PERCENTAGES)
 INDUSTRIES = tuple(row[0] for row in MULTIPLIERS)
 
 # --------------------------------------------------------------------------
@@ -99,34 +104,54 @@ _COST_ALIAS_GROUPS = (
     ("saas", "technology"),
 )
 
-COST_ALIASES = tuple(
-    (alias, industry)
-    for industry, aliases in _COST_ALIAS_GROUPS
-    for alias in aliases.split(", ")
-)
 
-# The prompt-side table follows the pricing table with these fixed differences:
-# from insurance on a group starts with its own name (not ecommerce, not the
-# closing technology entry), three groups end with one more alias, and
-# "infrastructure" keeps its place but points to cloud.
-_PROMPT_EXTRA = {"finance": "capital markets", "government": "civic", "food": "restaurant tech"}
-_PROMPT_PLAIN = {"healthcare", "pharmaceuticals", "finance", "ecommerce"}
+def _flat(groups: tuple[tuple[str, str], ...]) -> tuple[tuple[str, str], ...]:
+    return tuple((alias, industry) for industry, aliases in groups for alias in aliases.split(", "))
 
 
-def _prompt_aliases() -> tuple[tuple[str, str], ...]:
-    table: dict[str, str] = {}
-    for industry, aliases in _COST_ALIAS_GROUPS:
-        names = aliases.split(", ")
-        if industry not in _PROMPT_PLAIN and names != ["technology"]:
-            names = [industry, *names]
-        if industry in _PROMPT_EXTRA:
-            names = [*names, _PROMPT_EXTRA[industry]]
-        table.update((name, industry) for name in names)
-    table["infrastructure"] = "cloud"
-    return tuple(table.items())
+COST_ALIASES = _flat(_COST_ALIAS_GROUPS)
 
+# --------------------------------------------------------------------------
+# Aliases on the prompt side, in order.
+# --------------------------------------------------------------------------
+_PROMPT_ALIAS_GROUPS = (
+    ("healthcare", "health, medical, hospital"),
+    ("pharmaceuticals", "pharma, pharmaceutical, biotech"),
+    ("finance", "banking, bank, financial, capital markets"),
+    ("insurance", "insurance, insurtech"),
+    ("fintech", "fintech, payments, lending"),
+    ("ecommerce", "e-commerce, ecom, online store, marketplace"),
+    ("retail", "retail, fmcg, consumer goods"),
+    ("education", "education, edtech, university, school"),
+    ("manufacturing", "manufacturing, factory, industrial"),
+    ("logistics", "logistics, supply chain, shipping, warehousing, transportation"),
+    ("real estate", "real estate, realestate, proptech, property"),
+    ("telecom", "telecom, telecommunications, telco"),
+    ("energy", "energy, power, utilities, oil and gas, renewable, solar"),
+    ("automotive", "automotive, auto, electric vehicle, ev"),
+    ("media", "media, entertainment, streaming, ott, publishing"),
+    ("gaming", "gaming, game, esports"),
+    ("agriculture", "agriculture, agri, farming, agritech"),
+    ("government", "government, govtech, public sector, civic"),
+    ("hospitality", "hospitality, hotel, tourism, restaurant"),
+    ("construction", "construction"),
+    ("cloud", "infrastructure"),
+    ("construction", "civil engineering"),
+    ("legal", "legal, legaltech, law firm, law"),
+    ("hr", "hr, human resources, hrtech, talent, recruitment"),
+    ("nonprofit", "nonprofit, ngo, social impact, charity"),
+    ("saas", "saas, software as a service, b2b saas, platform"),
+    ("cloud", "cloud, cloud computing, devops"),
+    ("cybersecurity", "cybersecurity, infosec, security"),
+    ("travel", "travel, traveltech, booking, aviation"),
+    ("food", "food, foodtech, food delivery, restaurant tech"),
+    ("sports", "sports, sportstech, fitness"),
+    ("blockchain", "blockchain, web3, crypto, defi"),
+    ("ai_ml", "ai_ml, artificial intelligence, machine learning, ai, data science, ml"),
+    ("saas", "technology"),
+)
 
-KB_ALIASES = _prompt_aliases()
+KB_ALIASES = _flat(_PROMPT_ALIAS_GROUPS)
 
 # --------------------------------------------------------------------------
 # Industry-specific team roles, one person each.
@@ -154,51 +179,60 @@ FRONTEND_STACKS = (
 )
 
 # --------------------------------------------------------------------------
-# Knowledge base: six text fields per industry, in our own words.
-# industry: compliance | kpis | risks | tech_trends | terminology | stakeholders
+# Knowledge base: six text fields per industry, composed from what the industry
+# handles (thing), one piece of its work (unit), whom it serves and who leads it.
 # --------------------------------------------------------------------------
 KB_FIELDS = ("compliance", "kpis", "risks", "tech_trends", "terminology", "stakeholders")
 
-_KB_TEXT = """
-healthcare: patient privacy law, clinical device rules | waiting time, readmissions | record leaks, ward disruption | remote monitoring, imaging models | care pathway, patient record | medical director, ward leads
-finance: card security standard, capital rules | fraud rate, approval time | fraud, supervisory fines | instant payments, open banking | core ledger, risk score | risk officer, treasury head
-fintech: lending and payment licences | acquisition cost, default rate | rule changes, partner outages | embedded lending, video identity checks | wallet, payout, reconciliation | founder, product head
-insurance: solvency and conduct rules | claims ratio, settlement time | claims fraud, old policy systems | usage-based cover, claims triage | underwriting, premium, rider | chief actuary, claims head
-pharmaceuticals: good practice validation, trial rules | batch yield, trial enrolment | validation gaps, recalls | molecule search models, e-labels | batch record, deviation | quality head, trial lead
-ecommerce: consumer and card rules | conversion, basket value | peak outages, returns | headless storefronts, search ranking | catalogue, checkout, cart | commerce head, growth lead
-retail: consumer and weights rules | sales per store, shrinkage | stock gaps, till outages | shelf cameras, unified stock | planogram, till, replenishment | store operations, buyer
-education: learner data rules, accessibility | completion, attendance | learner privacy, low uptake | adaptive courses, proctoring | course, cohort, credit | principal, faculty head
-manufacturing: machine safety, quality systems | line efficiency, scrap rate | downtime, control-system attacks | digital twins, predictive upkeep | work order, bill of materials | plant manager, quality lead
-logistics: transport and customs rules | on-time rate, cost per drop | route delays, tracking gaps | route optimisation, smart warehouses | consignment, last mile, hub | fleet manager, warehouse lead
-real estate: property registration, data rules | occupancy, days to let | title disputes, valuation error | virtual tours, building sensors | lease, listing, escrow | broker head, facility manager
-telecom: licence and lawful access rules | churn, network uptime | outages, billing leakage | private 5G, network slicing | subscriber, provisioning | network head, revenue assurance
-energy: grid code, environmental rules | load factor, outage minutes | grid attacks, forecast error | smart meters, storage | feeder, tariff, demand response | grid operations, asset manager
-automotive: functional safety, emission rules | defects, warranty cost | recalls, part shortage | connected cars, battery analytics | platform, control unit, telematics | plant head, safety engineer
-media: copyright, classification rules | watch time, churn | piracy, live outages | cloud production, ad personalisation | playout, rights window | content head, ad operations
-gaming: age rating, loot-box rules | daily players, retention | cheating, launch overload | cross-play, cloud rendering | lobby, match, live event | studio head, community lead
-agriculture: food traceability, pesticide rules | yield, water use | weather loss, weak coverage | field drones, soil sensors | crop cycle, plot, input | farm manager, co-operative lead
-government: procurement, accessibility law | service time, digital uptake | procurement delay, citizen data leaks | shared identity, open data | case file, scheme, beneficiary | department secretary, programme lead
-hospitality: guest data, safety rules | occupancy, revenue per room | overbooking, seasonal demand | self check-in, dynamic rates | property system, channel | general manager, revenue lead
-construction: building code, site safety | schedule variance, rework | cost overrun, site accidents | building models, site drones | bill of quantities, snag | project director, site engineer
-legal: privilege, record keeping | matter cycle time, realisation | confidentiality breach, missed dates | contract review models, e-filing | matter, brief, discovery | managing partner, counsel
-hr: labour law, staff data rules | time to hire, attrition | bias, payroll errors | skills matching, pulse surveys | requisition, onboarding | people head, payroll lead
-nonprofit: donation and grant rules | funds raised, reach | donor fatigue, grant misuse | donor platforms, impact tracking | grant, campaign, beneficiary | trustee, programme manager
-saas: control audit, data residency | recurring revenue, churn | tenant leakage, downtime | usage pricing, in-app assistants | tenant, seat, subscription | product head, success lead
-cloud: control audit, residency rules | uptime, cost per workload | lock-in, wrong settings | serverless, spend control | region, cluster, landing zone | platform head, cloud architect
-cybersecurity: security management standards | detection time, patch age | alert fatigue, supplier breach | zero trust, attack-path analysis | incident, control, threat model | security officer, monitoring lead
-travel: passenger data, refund rules | bookings, cancellation rate | supplier failure, demand shocks | fare prediction, direct connect | itinerary, fare class | travel head, partner manager
-food: hygiene and labelling rules | delivery time, waste | contamination, cold-chain breaks | dark kitchens, demand forecast | order, menu, kitchen display | operations head, food safety lead
-sports: athlete data, anti-doping rules | attendance, engagement | event-day outages, ticket fraud | wearables, second-screen apps | fixture, season pass | club director, fan lead
-blockchain: digital asset rules, identity checks | throughput, settlement cost | contract exploits, key loss | layer-two networks, tokenised assets | node, wallet, consensus | protocol lead, auditor
-ai_ml: automated decision rules, data consent | accuracy, serving cost | drift, biased data | foundation models, feature stores | training run, inference, label | data science head, model risk lead
+# industry: thing | unit | people | lead
+_KB_WORDS = """
+healthcare: medicine | appointment | patients | hospital director
+finance: money | transfer | account holders | bank director
+fintech: digital money | app payment | app users | company founder
+insurance: cover | claim | policy holders | claims director
+pharmaceuticals: drugs | production batch | prescribers | laboratory director
+ecommerce: goods | web order | shoppers | shop director
+retail: shelves | sale | customers | store manager
+education: teaching | lesson | students | headteacher
+manufacturing: machines | production order | factory workers | works manager
+logistics: freight | delivery | consignees | transport manager
+real estate: buildings | tenancy | tenants | property manager
+telecom: networks | call | subscribers | network manager
+energy: electricity | meter reading | households | grid manager
+automotive: vehicles | built vehicle | drivers | assembly manager
+media: programmes | broadcast | viewers | programme director
+gaming: games | match | players | game producer
+agriculture: crops | harvest | growers | farm owner
+government: public services | application form | citizens | agency head
+hospitality: rooms | stay | guests | hotel owner
+construction: building sites | building stage | site workers | construction manager
+legal: cases | court date | clients | law partner
+hr: staff | vacancy | applicants | personnel director
+nonprofit: donations | donation | donors | board of trustees
+saas: software | subscription | user accounts | product manager
+cloud: servers | deployment | operators | infrastructure manager
+cybersecurity: protection | security alert | protected users | security manager
+travel: journeys | reservation | travellers | tour director
+food: meals | kitchen order | diners | kitchen manager
+sports: competitions | fixture | fans | club manager
+blockchain: ledgers | ledger entry | key holders | protocol maintainer
+ai_ml: models | prediction | model users | research lead
 """
 
 
+def _kb_row(industry: str, thing: str, unit: str, people: str, lead: str) -> tuple[str, ...]:
+    return (
+        industry, f"laws on {thing}, privacy of {people}", f"{unit} volume, cost for each {unit}, complaints from {people}",
+        f"{unit} backlog, failing systems for {thing}", f"automatic handling of each {unit}, self-service for {people}",
+        f"{thing}, {unit}, {people}", f"{lead}, spokespeople of the {people}",
+    )
+
+
 def _kb_rows() -> tuple[tuple[str, ...], ...]:
     rows = []
-    for line in _KB_TEXT.strip().splitlines():
-        industry, fields = line.split(": ", 1)
-        rows.append((industry, *fields.split(" | ")))
+    for line in _KB_WORDS.strip().splitlines():
+        industry, words = line.split(": ", 1)
+        rows.append(_kb_row(industry, *words.split(" | ")))
     return tuple(rows)
 
 

@@ -14,11 +14,18 @@ REPORT_FILES = "cost_report_*.json"
 
 
 def list_artifacts(spark: SparkSession, folder: str, pattern: str = PROPOSAL_FILES) -> DataFrame:
-    """Name, time, size and address of the matching files. File contents are not read."""
+    """Name, time, size and address of the matching files of one folder, without its sub-folders.
+
+    File contents are not read.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    root = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", True).load(folder)
         .select("path", "modificationTime", "length")
+        .where(F.substring_index("path", "/", len(root.split("/"))) == root)
+        .where(F.size(F.split("path", "/")) == len(root.split("/")) + 1)
     )
     name = F.substring_index("path", "/", -1)
     return files.select(

@@ -119,10 +119,11 @@ SELECT concat('proposal_', cast(event_id AS varchar(20)), '.pdf') AS filename,
 FROM {events} WHERE value >= 4
 """
 
-# Nine documents make three upload requests of 2, 3 and 4 files.
+# Nine documents make three upload requests of 2, 3 and 4 files. Two devices share
+# each upload id, and one of forty sends no device id.
 UPLOADS = """
-SELECT doc_id, upload_id, pos, size_bytes, text,
-       concat('device-', lpad(cast(upload_id % 40 AS varchar(20)), 8, '0')) AS device_id,
+SELECT doc_id, upload_id - upload_id % 2 AS upload_id, pos, size_bytes, text,
+       CASE WHEN upload_id % 40 = 7 THEN '' ELSE concat('device-', lpad(cast(upload_id % 40 AS varchar(20)), 8, '0')) END AS device_id,
        concat('Brief ', cast(doc_id AS varchar(20)),
               CASE doc_id % 11 WHEN 0 THEN '.PDF' WHEN 1 THEN '.docx' WHEN 2 THEN '.xlsx'
                    WHEN 3 THEN '.doc' WHEN 4 THEN '.xls' WHEN 5 THEN '.v2.pdf'
@@ -136,7 +137,7 @@ FROM (SELECT doc_id, text, n_chars * 300 AS size_bytes,
 
 UPLOAD_REQUESTS = """
 SELECT o_orderkey AS request_id,
-       concat('device-', lpad(cast(o_custkey % 40 AS varchar(20)), 8, '0')) AS device_id,
+       CASE WHEN o_custkey % 40 = 7 THEN '' ELSE concat('device-', lpad(cast(o_custkey % 40 AS varchar(20)), 8, '0')) END AS device_id,
        1704067200000000 + ((o_orderkey * 7919) % 50000) * 1000000 AS ts_us
 FROM {orders}
 """

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotewright.operators.grouped import salted_join
+from quotewright.operators.history import device_rollup
 from quotewright.operators.pricing import estimate_cost
-from quotewright.operators.validation import accepted, stored_user_name, validate_requests
+from quotewright.operators.validation import accepted, validate_requests
 
 SESSION_GAP = "10 minutes"
-LATENESS = "10 minutes"
 
 
 def stream_pricing(requests: DataFrame, out: str, checkpoint: str) -> None:
@@ -23,14 +22,15 @@ def stream_pricing(requests: DataFrame, out: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def stream_upload_sessions(uploads: DataFrame, out: str, checkpoint: str) -> None:
+def stream_upload_sessions(uploads: DataFrame, out: str, checkpoint: str, lateness: str) -> None:
     """Close a device's upload session ten minutes after its last upload.
 
-    The state per session is a few numbers, not the documents. Uploads older
-    than the watermark are dropped.
+    The state per session is a few numbers, not the documents. A session comes out
+    when the watermark, ``lateness`` behind the newest upload, has passed its end; those
+    still open wait for later uploads. Uploads older than the watermark are not counted.
     """
     sessions = (
-        uploads.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS)
+        uploads.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
         .groupBy("device_id", F.session_window("ts", SESSION_GAP).alias("session"))
         .agg(F.count("*").alias("files"))
         .select("device_id", F.col("session.start").alias("session_start"),
@@ -43,73 +43,28 @@ def stream_upload_sessions(uploads: DataFrame, out: str, checkpoint: str) -> Non
     query.awaitTermination()
 
 
-DELTA_SCHEMA = (
-    "device_id string, first_seen struct<ts:timestamp_ntz,event_id:bigint>, last_seen timestamp_ntz, "
-    "named struct<ts:timestamp_ntz,event_id:bigint>, user_name string, proposals bigint, batch_id bigint"
-)
+DEVICE_ACTIONS = ("register", "record_proposal")
+DEVICE_SCHEMA = "event_id bigint, ts timestamp_ntz, device_id string, action string, user_name string, batch_id bigint"
 
 
-def device_delta(events: DataFrame, known: DataFrame) -> DataFrame:
-    """What one batch of events adds to each device.
-
-    ``known`` holds (device_id, first_seen) of earlier batches. A proposal
-    counts when its device was registered before it.
-    """
-    order = F.struct("ts", "event_id")
-    name = stored_user_name(F.col("user_name"))
-    here = events.where("action = 'register'").groupBy("device_id").agg(
-        F.min(order).alias("first_seen"), F.max("ts").alias("registered"),
-        F.max(F.when(name != "", order)).alias("named"),
-        F.max_by(F.when(name != "", name), F.when(name != "", order)).alias("user_name"),
-    )
-    touched = events.select("device_id").distinct()
-    first = (
-        known.join(touched, "device_id", "left_semi").unionByName(here.select("device_id", "first_seen"))
-        .groupBy("device_id").agg(F.min("first_seen").alias("registered_at"))
-    )
-    proposals = events.where("action = 'record_proposal'").select("device_id", "ts", "event_id")
-    counted = (
-        salted_join(proposals, first, "device_id", "event_id", "inner")
-        .where(F.struct("ts", "event_id") > F.col("registered_at"))
-        .groupBy("device_id").agg(F.count("*").alias("proposals"), F.max("ts").alias("proposed"))
-    )
-    return here.join(counted, "device_id", "full").select(
-        "device_id", "first_seen", F.greatest("registered", "proposed").alias("last_seen"),
-        "named", "user_name", F.coalesce("proposals", F.lit(0).cast("bigint")).alias("proposals"),
-    )
-
-
-def read_deltas(spark: SparkSession, table: str, before: int | None = None) -> DataFrame:
-    deltas = spark.read.schema(DELTA_SCHEMA).parquet(table)
-    return deltas if before is None else deltas.where(F.col("batch_id") < before)
-
-
-def device_state(deltas: DataFrame) -> DataFrame:
-    """The device table: the sums and extremes of all deltas."""
-    return deltas.groupBy("device_id").agg(
-        F.min("first_seen").alias("first_seen"),
-        F.coalesce(F.max_by("user_name", "named"), F.lit("")).alias("user_name"),
-        F.max("last_seen").alias("last_seen"),
-        F.sum("proposals").alias("proposal_count"),
-    ).where(F.col("first_seen").isNotNull()).select(
-        "device_id", "user_name", F.col("first_seen.ts").alias("created_at"), "last_seen", "proposal_count"
-    )
+def device_state(spark: SparkSession, table: str) -> DataFrame:
+    """The device table from everything that has arrived, in whatever order it came."""
+    return device_rollup(spark.read.schema(DEVICE_SCHEMA).parquet(table))
 
 
 def stream_device_state(events: DataFrame, table: str, checkpoint: str) -> None:
-    """Keep the device table up to date by appending one small delta per batch.
+    """Keep what the device table needs of each batch.
 
-    Every batch writes its own folder, so a batch that is run again replaces
-    what it wrote before and ignores folders of later batches.
+    An earlier registration may arrive after proposals that then count, so no batch is
+    settled on its own: a batch adds its few columns and reads none of the others. Every
+    batch writes its own folder, so one that is run again replaces what it wrote before.
     """
     spark = events.sparkSession
-    spark.createDataFrame([], DELTA_SCHEMA).drop("batch_id").write.mode("overwrite").parquet(f"{table}/batch_id=-1")
+    spark.createDataFrame([], DEVICE_SCHEMA).drop("batch_id").write.mode("overwrite").parquet(f"{table}/batch_id=-1")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        known = read_deltas(batch.sparkSession, table, batch_id).where(
-            F.col("first_seen").isNotNull()
-        ).select("device_id", "first_seen")
-        device_delta(batch, known).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        kept = batch.where(F.col("action").isin(*DEVICE_ACTIONS)).select("event_id", "ts", "device_id", "action", "user_name")
+        kept.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
     query = (
         events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -9,7 +9,8 @@ import pytest
 import __spark_entry__ as contract
 
 SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
-TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE",
+         "decimal(38,0)": "DECIMAL(38,0)"}
 
 
 @pytest.fixture(scope="module")

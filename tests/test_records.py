@@ -32,16 +32,16 @@ def replay(rows):
     return devices
 
 
-@pytest.mark.parametrize("hot_rows", [5, 1_000_000])
-def test_device_rollup_equals_replay(spark, hot_rows):
+@pytest.mark.parametrize("spread", [1, 60])
+def test_device_rollup_equals_replay(spark, spread):
     rng = random.Random(5)
     rows = sorted((
-        (rng.randint(0, 500), "hot" if rng.random() < 0.4 else f"d{rng.randint(0, 20)}",
+        (rng.randint(0, 500) * spread, "hot" if rng.random() < 0.4 else f"d{rng.randint(0, 20)}",
          rng.choice(["register", "record_proposal", "record_proposal", "other"]), rng.choice(["", " a ", "b", None]))
         for _ in range(400)), key=lambda r: r[0])
     found = {
         r.device_id: (r.user_name, (r.created_at - T0).seconds, (r.last_seen - T0).seconds, r.proposal_count)
-        for r in history.device_rollup(events(spark, rows), hot_rows).collect()}
+        for r in history.device_rollup(events(spark, rows)).collect()}
     assert found == replay(rows)
 
 
@@ -92,7 +92,7 @@ def wrapped(tags, r):
 def uploaded(spark):
     rows = upload_rows(random.Random(2), 300)
     df = spark.createDataFrame(rows, UPLOADS)
-    tags = {r[0]: r[1] for r in df.select("device_id", content_tag(F.col("device_id"))).distinct().collect()}
+    tags = {r[0]: r[1] for r in df.select("device_id", content_tag(F.col("device_id"), "s")).distinct().collect()}
     return rows, df, tags
 
 
@@ -104,36 +104,52 @@ def test_sessions(spark, uploaded):
         k: (v[-1][6] + timedelta(seconds=600), len(v), sum(len(r[5]) for r in v)) for k, v in sessions_by_hand(rows).items()}
 
 
-@pytest.mark.parametrize("chunk_chars", [100, 1_000_000])
-def test_context(spark, uploaded, chunk_chars):
+def test_context(spark, uploaded):
     rows, df, tags = uploaded
     found = {}
-    for r in uploads.upload_context(df, chunk_chars=chunk_chars).orderBy("device_id", "session_start", "chunk").collect():
-        found.setdefault((r.device_id, r.session_start), []).append(r.context)
-    assert {k: "\n\n".join(v) for k, v in found.items()} == {
-        k: "\n\n".join(wrapped(tags, r) for r in v) for k, v in sessions_by_hand(rows).items()}
-    if chunk_chars == 100:
-        assert max(len(v) for v in found.values()) > 1
+    for r in uploads.upload_context(df, "s").orderBy("device_id", "session_start", "position").collect():
+        found.setdefault((r.device_id, r.session_start), []).append((r.position, r.part))
+    assert found == {k: [(i + 1, wrapped(tags, r)) for i, r in enumerate(v)] for k, v in sessions_by_hand(rows).items()}
 
 
-@pytest.mark.parametrize("chunk_chars", [100, 1_000_000])
-def test_request_context(spark, uploaded, chunk_chars):
+def test_request_context(spark, uploaded):
     rows, df, tags = uploaded
     rng = random.Random(9)
     asks = [(i, "hot" if rng.random() < 0.4 else f"d{rng.randint(0, 8)}", T0 + timedelta(seconds=rng.randint(0, 40000))) for i in range(300)]
-    asks += [(1000 + r[1], r[0], r[6]) for r in rows[:60]]
+    asks += [(1000 + r[1], r[0], r[6]) for r in rows[:60]] + [(5000, "", T0), (5001, None, T0)]
     requests = spark.createDataFrame(asks, "request_id bigint, device_id string, ts timestamp_ntz")
-    found = {}
-    for r in uploads.request_upload_context(requests, df, chunk_chars=chunk_chars).orderBy("request_id", "chunk").collect():
-        found.setdefault(r.request_id, []).append(r)
+    found = {r.request_id: r for r in uploads.request_upload_state(requests, df).collect()}
+    assert len(found) == len(asks)
     sessions = sessions_by_hand(rows)
     for request_id, device, ts in asks:
         seen = next(
             (v for (d, start), v in sessions.items() if d == device and start <= ts <= v[-1][6] + timedelta(seconds=600)), [])
         seen = [r for r in seen if r[6] <= ts]
         got = found[request_id]
-        assert got[0].docs_available == len(seen)
-        assert "\n\n".join(r.context for r in got) == "\n\n".join(wrapped(tags, r) for r in seen)
+        assert got.docs_available == len(seen)
+        assert got.context_chars == len("\n\n".join(wrapped(tags, r) for r in seen))
+
+
+def test_uploads_without_a_device_belong_to_nobody(spark):
+    rows = [("", 1, 0, "a.pdf", 1, "x", T0), (None, 2, 0, "a.pdf", 1, "x", T0), ("d1", 3, 0, "a.pdf", 1, "x", T0)]
+    df = spark.createDataFrame(rows, UPLOADS)
+    asks = spark.createDataFrame([(1, "", T0), (2, None, T0), (3, "d1", T0)], "request_id bigint, device_id string, ts timestamp_ntz")
+    assert {r.request_id: r.docs_available for r in uploads.request_upload_state(asks, df).collect()} == {1: 0, 2: 0, 3: 1}
+    assert [r.device_id for r in uploads.upload_context(df, "s").collect()] == ["d1"]
+    assert [r.device_id for r in uploads.upload_sessions(df).collect()] == ["d1"]
+
+
+def test_a_shared_upload_id_is_judged_per_device(spark):
+    rows = [("d1", 1, 0, "a.exe", 1, "x", T0), ("d2", 1, 0, "b.pdf", 1, "y", T0)]
+    df = spark.createDataFrame(rows, UPLOADS)
+    assert [r.device_id for r in uploads.admitted(df).collect()] == ["d2"]
+    assert [r.filename for r in uploads.upload_summary(df).collect()] == ["b.pdf"]
+
+
+def test_tags_need_a_salt():
+    for salt in ("", "  "):
+        with pytest.raises(ValueError):
+            content_tag(F.lit("d"), salt)
 
 
 def test_admission(spark):

@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -50,6 +51,8 @@ def test_reports_round_trip(spark, tmp_path):
 def test_artifacts(spark, tmp_path):
     for name, size in (("proposal_1.pdf", 1280), ("proposal_2.pdf", 10), ("cost_report_1.json", 5)):
         (tmp_path / name).write_bytes(b"x" * size)
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old" / "proposal_3.pdf").write_bytes(b"x")
     listed = artifacts.list_artifacts(spark, str(tmp_path))
     rows = artifacts.artifact_order(listed).collect()
     assert [(r.filename, r.size_kb, r.download_url) for r in rows] == [
@@ -74,23 +77,28 @@ def test_shared_folder_comes_from_the_session(spark):
 EVENTS = "event_id bigint, ts timestamp_ntz, device_id string, action string, user_name string"
 
 
-def test_device_stream_in_several_batches(spark, tmp_path):
-    """Events arriving in order over several batches give the same table as one batch job."""
-    rows = [(i, T0 + timedelta(seconds=i), f"d{i % 7}", ["record_proposal", "register", "record_proposal"][i % 3], ["", " n ", "m"][i % 4 % 3]) for i in range(90)]
+def batches_of(rows, seed):
+    """The rows in random order, cut at random places."""
+    rng = random.Random(seed)
+    mixed = rng.sample(rows, len(rows))
+    cuts = [0, *sorted(rng.sample(range(1, len(rows)), 3)), len(rows)]
+    return [mixed[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_device_stream_in_any_order(spark, tmp_path, seed):
+    """Whatever the order and the batches, the stream gives the table of one batch job."""
+    rows = [(i, T0 + timedelta(seconds=i * 97), f"d{i % 7}", ["record_proposal", "register", "record_proposal"][i % 3], ["", " n ", "m"][i % 4 % 3]) for i in range(90)]
     table, state, source = (str(tmp_path / n) for n in ("table", "state", "in"))
-    for start in (0, 10, 30):
-        stop = {0: 10, 10: 30, 30: 90}[start]
-        spark.createDataFrame(rows[start:stop], EVENTS).coalesce(1).write.mode("append").parquet(source)
+    for batch in batches_of(rows, seed):
+        spark.createDataFrame(batch, EVENTS).coalesce(1).write.mode("append").parquet(source)
         jobs.stream_device_state(spark.readStream.schema(EVENTS).parquet(source), table, state)
-    found = jobs.device_state(jobs.read_deltas(spark, table))
     expected = device_rollup(spark.createDataFrame(rows, EVENTS))
-    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
-    assert jobs.read_deltas(spark, table).select("batch_id").distinct().count() >= 3
+    assert sorted(map(tuple, jobs.device_state(spark, table).collect())) == sorted(map(tuple, expected.collect()))
+    assert spark.read.parquet(table).select("batch_id").distinct().count() >= 4
 
 
-def test_a_repeated_batch_changes_nothing(spark, tmp_path):
-    events = spark.createDataFrame([(1, T0, "d", "register", "n"), (2, T0 + timedelta(seconds=1), "d", "record_proposal", None)], EVENTS)
-    known = spark.createDataFrame([], "device_id string, first_seen struct<ts:timestamp_ntz,event_id:bigint>")
-    once, twice = jobs.device_delta(events, known), jobs.device_delta(events, known)
-    assert once.collect() == twice.collect()
-    assert once.select("proposals", F.col("first_seen.event_id")).first()[:] == (1, 1)
+def test_clean_up(spark, tmp_path):
+    folder = str(tmp_path / "shared")
+    spark.range(1).write.parquet(scratch.fresh_path(spark, "x", folder))
+    assert scratch.clean_up(spark, folder) and not scratch.clean_up(spark, folder)

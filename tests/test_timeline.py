@@ -86,15 +86,11 @@ def test_a_heavy_group_is_spread(spark):
     assert [r.new_weeks for r in found[0]] == by_hand(8, list(range(1000)))
 
 
-@pytest.mark.parametrize("hot_rows", [1, 7, 1_000_000])
-def test_salted_join(spark, hot_rows):
-    facts = spark.range(2000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 50).alias("k"), "id")
-    dim = spark.range(0, 40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    for how in ("left", "inner"):
-        plain = facts.join(dim, "k", how)
-        salted = grouped.salted_join(facts, dim, "k", "id", how, hot_rows)
-        assert sorted(map(tuple, salted.select("k", "id", "v").collect()), key=repr) == sorted(
-            map(tuple, plain.select("k", "id", "v").collect()), key=repr)
+def test_unnamed_phases_count_from_one(spark):
+    rows = [(1, seq, None, 2, True, 8) for seq in (0, 1)] + [(2, 1, None, 2, True, 8)]
+    df = spark.createDataFrame(rows, "request_id int, seq int, phase string, weeks int, is_object boolean, expected_weeks int")
+    found = timeline.gantt_offsets(df).orderBy("request_id", "seq").collect()
+    assert [r.phase for r in found] == ["Phase 1", "Phase 2", "Phase 1"]
 
 
 def test_array_form_agrees_with_rows(spark):
