@@ -54,10 +54,10 @@ def chunks(docs: DataFrame) -> DataFrame:
 def repeated_chunks(docs: DataFrame) -> DataFrame:
     """Chunks that an earlier one equals byte by byte, as ``cuts`` (start, length) of each did and text_id."""
     all_chunks = chunks(docs)
-    repeated = (
+    # written first, so that the joins read plain shuffles, whose hot keys Spark can split
+    repeated = stored(
         all_chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("did", "start", "text_id")).alias("first"))
-        .where("n > 1").drop("n")
-    )
+        .where("n > 1").drop("n"), "repeated-chunks")
     candidates = stored(
         all_chunks.join(repeated, "digest")
         .withColumn("leads", F.struct("did", "start") == F.struct("first.did", "first.start"))
@@ -67,7 +67,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     texts = with_lists(docs, candidates, "found", only=True).withColumn("lines", F.split("text", "\n", -1))
     texts = once(texts.drop("text"), {"pieces": F.transform("found", lambda c: c.withField("chunk", joined(c["start"], c["length"])))})
     texts = stored(texts.select("did", "text_id", F.inline("pieces")), "chunk-texts")
-    first = texts.where("leads").select("digest", F.col("chunk").alias("first_chunk")).dropDuplicates(["digest"])
+    first = stored(texts.where("leads").select("digest", F.col("chunk").alias("first_chunk")).dropDuplicates(["digest"]), "first-chunks")
     same = texts.where("not leads").join(first, "digest").where("chunk = first_chunk")
     return same.groupBy("did", "text_id").agg(F.collect_set(F.struct("start", "length")).alias("cuts"))
 
