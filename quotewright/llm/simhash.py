@@ -164,6 +164,8 @@ def ball_links(fps: DataFrame) -> DataFrame:
 
 def similar_classes(classes: DataFrame) -> DataFrame:
     """All links between the distinct fingerprints ``fp`` of ``classes``, as a connecting set (fp, other)."""
+    # few small rows become many: deal them out first
+    classes = classes.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     counts = at_anchors(classes).groupBy("anchor").count().where(F.col("count") > HOT_ANCHOR).select("anchor")
     hot = stored(counts, "hot-anchors")
     placed = at_anchors(classes)
