@@ -175,7 +175,8 @@ def pack(pieces: DataFrame, size: int = 1024) -> DataFrame:
     pieces = stored(pieces, "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``size`` rows
     plan = plan_bins(counts, size)
-    blocks = max(1, sum(counts.values()) // RANK_BLOCK)
+    # as many blocks as tasks at least, so that a common length is numbered by all of them
+    blocks = max(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(counts.values()) // RANK_BLOCK)
     columns = pieces.columns
     dealt = pieces.withColumn("block", F.pmod(F.xxhash64(*columns), F.lit(blocks)).cast("int"))
     before = (
