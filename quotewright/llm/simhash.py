@@ -1,16 +1,19 @@
 """Near duplicates by SimHash, found with anchor points of a covering code.
 
-Anchors are the words of two copies of the perfect binary Golay code on bits 0-22 and
-23-45 of a fingerprint; the other bits are free. Every block value lies within 3 bits
-of exactly one code word, its home, so a pair of homes is the anchor of a fingerprint
-(covering radius 3 in each block). A fingerprint at distance d1 and d2 from it in the
-blocks lies within 3 + d1 and 3 + d2 of that anchor. So each fingerprint is replicated
-to all anchors within the covering radius plus the threshold, and compared there with
-the fingerprints whose home it is: no linked pair is missed.
+Anchors are the words of two copies of the perfect binary Golay code on two blocks of a
+fingerprint; the other bits are free. Every block value lies within 3 bits of exactly
+one code word, its home, so a pair of homes is the anchor of a fingerprint (covering
+radius 3 in each block). A fingerprint at distance d1 and d2 from it in the blocks lies
+within 3 + d1 and 3 + d2 of that anchor. So each fingerprint is replicated to all
+anchors within the covering radius plus the distance, and compared there with the
+fingerprints whose home it is: no linked pair is missed. For up to 2 differing bits the
+blocks are bits 0-22 and 23-45. For up to 4, each pair of these and bits 46-63 has
+anchors of its own: in one of the pairs the distance is 2 or less.
 
 Equal fingerprints are one class before anything is replicated. An anchor with very
 many fingerprints is not compared pairwise: two fingerprints within 2 bits share a
-point within 1 bit of both, and such a point has at most 65 of them.
+point within 1 bit of both, and such a point has at most 65 of them (for 4 bits: a point
+within 2, and 2081).
 """
 
 from __future__ import annotations
@@ -20,17 +23,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotewright.llm.common import batches, connected, roots, stored, table, whole
+from quotewright.llm.common import batches, connected, roots, stored, whole
 
 SEED = 42
-THRESHOLD = 2
 RADIUS = 3
+#: What a pair of blocks may differ by, and the pairs that cover a threshold.
+REACH = 2
+PAIRS = {2: ((0, 1),), 4: ((0, 1), (0, 2), (1, 2))}
 BLOCK_BITS = 23
 CHECK_BITS = 11
 #: Generator polynomial of the binary Golay code, a fixed value.
 GENERATOR = 0b101011100011
 #: Rows at an anchor beyond which its fingerprints go the linear way.
-HOT_ANCHOR = 50_000
+HOT_ANCHOR = 500_000
 #: Pairs compared at once in a task.
 PAIR_BLOCK = 1 << 21
 
@@ -63,12 +68,12 @@ def remainder(values: np.ndarray) -> np.ndarray:
 
 
 class Anchors:
-    """Error patterns by syndrome: which code words lie within RADIUS + THRESHOLD of a block value."""
+    """Error patterns by syndrome: which code words lie within RADIUS + REACH of a block value."""
 
     def __init__(self) -> None:
         single = 1 << np.arange(BLOCK_BITS, dtype=np.int64)
         levels = [np.zeros(1, dtype=np.int64)]
-        for _ in range(RADIUS + THRESHOLD):
+        for _ in range(RADIUS + REACH):
             grown = levels[-1][:, None] | single
             levels.append(np.unique(grown[levels[-1][:, None] != grown]))
         errors = np.concatenate(levels)
@@ -84,11 +89,14 @@ class Anchors:
         own = slice(self.start[s], self.start[s + 1])
         return (value ^ self.errors[own]) >> CHECK_BITS, self.extra[own]
 
-    def of(self, fp: int) -> np.ndarray:
-        """All anchors of a fingerprint, its home first."""
-        mask = (1 << BLOCK_BITS) - 1
-        (a, da), (b, db) = self.of_block(fp & mask), self.of_block(fp >> BLOCK_BITS & mask)
-        return ((a[:, None] << (BLOCK_BITS - CHECK_BITS)) | b)[da[:, None] + db <= THRESHOLD]
+    def of(self, fp: int, pairs: tuple[tuple[int, int], ...] = PAIRS[2]) -> list[np.ndarray]:
+        """All anchors of a fingerprint for each pair of blocks, its home first."""
+        mask, bits, out = (1 << BLOCK_BITS) - 1, BLOCK_BITS - CHECK_BITS, []
+        near = [self.of_block(fp >> BLOCK_BITS * i & mask) for i in range(3)]
+        for k, (i, j) in enumerate(pairs):
+            (a, da), (b, db) = near[i], near[j]
+            out.append((k << 2 * bits | a[:, None] << bits | b)[da[:, None] + db <= REACH])
+        return out
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -101,13 +109,14 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return batches(docs.select("doc_id", whole().alias("text")), run, "doc_id long, fp long")
 
 
-def at_anchors(fps: DataFrame) -> DataFrame:
+def at_anchors(fps: DataFrame, threshold: int) -> DataFrame:
     """Every fingerprint at each of its anchors: anchor, fp, home."""
-    anchors = Anchors()
+    anchors, pairs = Anchors(), PAIRS[threshold]
 
     def run(rows: dict[str, list]) -> dict[str, np.ndarray]:
         values = rows["fp"].to_numpy(zero_copy_only=False)
-        near = [anchors.of(v) for v in values.view(np.uint64).tolist()]
+        near = [x for v in values.view(np.uint64).tolist() for x in anchors.of(v, pairs)]
+        values = np.repeat(values, len(pairs))
         counts = np.array([len(x) for x in near])
         home = np.zeros(counts.sum(), dtype=bool)
         home[np.cumsum(counts) - counts] = True
@@ -116,7 +125,7 @@ def at_anchors(fps: DataFrame) -> DataFrame:
     return batches(fps.select("fp"), run, "anchor int, fp long, home boolean")
 
 
-def compare(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def compare(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """Linked fingerprints among rows at anchors, as (fingerprint, smallest one it is joined to)."""
     values, code = np.unique(fp, return_inverse=True)
     order = np.argsort(anchor[home], kind="stable")
@@ -133,14 +142,14 @@ def compare(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray) -> tuple[np.nd
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         left, right = np.repeat(code[rows], n), home_code[np.repeat(low[rows], n) + inside]
         apart = np.bitwise_count((values[left] ^ values[right]).view(np.uint64))
-        linked = (apart <= THRESHOLD) & (left != right)
+        linked = (apart <= threshold) & (left != right)
         labels = roots(len(values), left[linked], right[linked], labels)
         done = upto
     moved = np.flatnonzero(labels != np.arange(len(values)))
     return values[moved], values[labels[moved]]
 
 
-def anchored_links(rows: DataFrame) -> DataFrame:
+def anchored_links(rows: DataFrame, threshold: int) -> DataFrame:
     """Links (fp, other) that connect what is linked at any anchor of a partition."""
     import pyarrow as pa
 
@@ -148,37 +157,39 @@ def anchored_links(rows: DataFrame) -> DataFrame:
         parts = [b for b in stream if b.num_rows]
         if parts:
             whole_part = pa.Table.from_batches(parts)
-            u, v = compare(*(whole_part.column(c).to_numpy() for c in ("anchor", "fp", "home")))
+            u, v = compare(*(whole_part.column(c).to_numpy() for c in ("anchor", "fp", "home")), threshold)
             yield pa.RecordBatch.from_pydict({"fp": pa.array(u, pa.int64()), "other": pa.array(v, pa.int64())})
 
     return rows.repartition("anchor").mapInArrow(run, "fp long, other long")
 
 
-def ball_links(fps: DataFrame) -> DataFrame:
-    """Links among ``fps`` by common points within one bit; connects all within two bits."""
-    ball = F.expr("transform(sequence(-1, 63), i -> if(i < 0, fp, fp ^ shiftleft(1L, i)))")
-    points = fps.select("fp").distinct().select("fp", F.explode(ball).alias("point"))
+def ball_links(fps: DataFrame, threshold: int) -> DataFrame:
+    """Links among ``fps`` by common points within half the threshold; connects all within the threshold."""
+    ball = F.expr("transform(sequence(-1, 63), i -> if(i < 0, point, point ^ shiftleft(1L, i)))")
+    points = fps.select("fp", F.col("fp").alias("point")).distinct()
+    for _ in range(threshold // 2):
+        points = points.select("fp", F.explode(ball).alias("point")).distinct()
     least = points.groupBy("point").agg(F.min("fp").alias("other"))
     return points.join(least, "point").where("fp <> other").select("fp", "other").distinct()
 
 
-def similar_classes(classes: DataFrame) -> DataFrame:
+def similar_classes(classes: DataFrame, threshold: int = 2) -> DataFrame:
     """All links between the distinct fingerprints ``fp`` of ``classes``, as a connecting set (fp, other)."""
     # few small rows become many: deal them out first
     classes = classes.repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    counts = at_anchors(classes).groupBy("anchor").count().where(F.col("count") > HOT_ANCHOR).select("anchor")
+    counts = at_anchors(classes, threshold).groupBy("anchor").count().where(F.col("count") > HOT_ANCHOR).select("anchor")
     hot = stored(counts, "hot-anchors")
-    placed = at_anchors(classes)
-    links = anchored_links(placed if hot.isEmpty() else placed.join(hot, "anchor", "left_anti"))
+    placed = at_anchors(classes, threshold)
+    links = anchored_links(placed if hot.isEmpty() else placed.join(hot, "anchor", "left_anti"), threshold)
     if not hot.isEmpty():
-        links = links.union(ball_links(placed.join(hot, "anchor", "left_semi")))
+        links = links.union(ball_links(placed.join(hot, "anchor", "left_semi"), threshold))
     return links
 
 
-def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of ``docs`` (doc_id, text).
 
-    Fingerprints link at THRESHOLD or fewer differing bits; component_id is the
+    Fingerprints link at ``threshold`` (2 or 4) or fewer differing bits; component_id is the
     smallest doc_id reachable. A missing text is empty; texts without words have
     fingerprint zero and link like any other. Rows without a doc_id link too, but name
     no component; a component of such rows only has none. Repeated rows stay.
@@ -189,7 +200,7 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
         known.groupBy("fp").agg(F.min("doc_id").alias("first"))
         .select("fp", F.struct(F.col("first").isNull().alias("nameless"), F.coalesce("first", "fp").alias("id")).alias("node")),
         "fingerprint-classes")
-    links = stored(similar_classes(classes), "links")
+    links = stored(similar_classes(classes, threshold), "links")
     named = (
         links.join(classes, "fp").select("other", F.col("node").alias("u"))
         .join(classes.withColumnRenamed("fp", "other"), "other").select("u", F.col("node").alias("v"))
@@ -202,11 +213,11 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     return known.join(component, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, width: int = 3) -> DataFrame:
+def keep_first(docs: DataFrame, width: int = 3, threshold: int = 4) -> DataFrame:
     """One row of each group of near duplicates, the one with the smallest doc_id, with all its columns.
 
     Rows that share the smallest doc_id of their group all stay when they are the
     group, except that equal texts under one id stay once. Rows without a doc_id stay.
     """
-    groups = near_duplicates(docs, width).where("component_id <> doc_id").select("doc_id").distinct()
+    groups = near_duplicates(docs, width, threshold).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(groups, "doc_id", "left_anti")

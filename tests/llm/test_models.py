@@ -200,7 +200,7 @@ def test_pipeline_stages_agree_with_brute_force(spark, documents):
         if name == "line_dedup":
             assert after == Counter({(d, t): n for (d, t, gone), n in brute_lines(before).items() if not gone or t.strip()})
         if name == "near_dedup":
-            groups = brute_components([(d, brute_simhash(t)) for d, t in before])
+            groups = brute_components([(d, brute_simhash(t)) for d, t in before], 4)
             first = {d for d, _, c in groups if d == c}
             assert after == Counter(x for x in before if x[0] in first) and len(first) < len(before)
         if name == "decontamination":

@@ -82,8 +82,8 @@ def brute_simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(items):
-    """items: (doc_id, fp) with ids; smallest id reachable over links of 2 or fewer bits."""
+def brute_components(items, threshold=2):
+    """items: (doc_id, fp) with ids; smallest id reachable over links of ``threshold`` or fewer bits."""
     fps = sorted({f for _, f in items})
     parent = {f: f for f in fps}
 
@@ -95,7 +95,7 @@ def brute_components(items):
 
     for i, a in enumerate(fps):
         for b in fps[:i]:
-            if (a ^ b).bit_count() <= 2:
+            if (a ^ b).bit_count() <= threshold:
                 parent[find(a)] = find(b)
     least = {}
     for d, f in items:
@@ -110,23 +110,24 @@ def test_simhash(spark, odd_documents, odd_texts, rows):
         assert as_set(df, "doc_id", "fingerprint", "component_id") == want
 
 
-def planted_fingerprints():
+def planted_fingerprints(threshold):
     rng = random.Random(5)
     fps = [rng.getrandbits(64) for _ in range(200)]
     for f in fps[:60]:
         for _ in range(6):  # chains and stars around some
-            f ^= sum(1 << b for b in rng.sample(range(64), rng.randint(1, 2)))
+            f ^= sum(1 << b for b in rng.sample(range(64), rng.randint(1, threshold + 1)))
             fps.append(f)
     return list(dict.fromkeys(fps))
 
 
-@pytest.mark.parametrize("hot", [50_000, 0])
-def test_links_connect_all_within_two_bits(spark, monkeypatch, hot):
+@pytest.mark.parametrize("threshold", [2, 4])
+@pytest.mark.parametrize("hot", [500_000, 0])
+def test_links_connect_all_within_the_threshold(spark, monkeypatch, hot, threshold):
     monkeypatch.setattr(simhash, "HOT_ANCHOR", hot)
     monkeypatch.setattr(simhash, "PAIR_BLOCK", 64)
-    fps = planted_fingerprints()
+    fps = planted_fingerprints(threshold)
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
-    links = simhash.similar_classes(spark.createDataFrame(signed, "fp long"))
+    links = simhash.similar_classes(spark.createDataFrame(signed, "fp long"), threshold)
     got = {tuple(x & (1 << 64) - 1 for x in (r["fp"], r["other"])) for r in links.collect()}
     groups = defaultdict(set)
     index = {f: i for i, f in enumerate(fps)}
@@ -134,7 +135,7 @@ def test_links_connect_all_within_two_bits(spark, monkeypatch, hot):
     for f in fps:
         groups[labels[index[f]]].add(f)
     want = defaultdict(set)
-    for d, _, c in brute_components([(i, f) for i, f in enumerate(fps)]):
+    for d, _, c in brute_components([(i, f) for i, f in enumerate(fps)], threshold):
         want[c].add(fps[d])
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
