@@ -164,10 +164,11 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
     pairs = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), name)
     while True:
         both = pairs.union(pairs.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # minima are written first, so that the joins read plain shuffles, whose hot keys Spark can split
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = stored(large, name)
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        lowest = stored(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(lowest, "u")
         step = stored(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v")))
