@@ -18,7 +18,10 @@ within 2, and 2081).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +39,8 @@ CHECK_BITS = 11
 GENERATOR = 0b101011100011
 #: Rows at an anchor beyond which its fingerprints go the linear way.
 HOT_ANCHOR = 500_000
+#: Rows at anchors that a task holds at once, but for those of the last anchor.
+HELD_ROWS = 1_000_000
 #: Pairs compared at once in a task.
 PAIR_BLOCK = 1 << 21
 
@@ -149,18 +154,31 @@ def compare(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, threshold: int
     return values[moved], values[labels[moved]]
 
 
+def whole_anchors(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that are sorted by anchor, in tables of HELD_ROWS or a little more that cut no anchor."""
+    held: list[pa.RecordBatch] = []
+    for batch in stream:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= HELD_ROWS:
+            rows = pa.Table.from_batches(held)
+            anchor = rows.column("anchor").to_numpy()
+            at = int(np.searchsorted(anchor, anchor[-1]))
+            if at:
+                yield rows.slice(0, at)
+                held = rows.slice(at).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def anchored_links(rows: DataFrame, threshold: int) -> DataFrame:
-    """Links (fp, other) that connect what is linked at any anchor of a partition."""
-    import pyarrow as pa
-
-    def run(stream):
-        parts = [b for b in stream if b.num_rows]
-        if parts:
-            whole_part = pa.Table.from_batches(parts)
-            u, v = compare(*(whole_part.column(c).to_numpy() for c in ("anchor", "fp", "home")), threshold)
+    """Links (fp, other) that connect what is linked at any anchor; a task holds some anchors at a time."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_anchors(stream):
+            u, v = compare(*(part.column(c).to_numpy() for c in ("anchor", "fp", "home")), threshold)
             yield pa.RecordBatch.from_pydict({"fp": pa.array(u, pa.int64()), "other": pa.array(v, pa.int64())})
 
-    return rows.repartition("anchor").mapInArrow(run, "fp long, other long")
+    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "fp long, other long")
 
 
 def ball_links(fps: DataFrame, threshold: int) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -140,6 +141,16 @@ def test_links_connect_all_within_the_threshold(spark, monkeypatch, hot, thresho
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_tables_of_whole_anchors(monkeypatch):
+    monkeypatch.setattr(simhash, "HELD_ROWS", 10)
+    rng = random.Random(8)
+    anchors = sorted(rng.choices(range(12), k=90)) + [12] * 40
+    stream = (pa.RecordBatch.from_pydict({"anchor": pa.array(anchors[i : i + 7], pa.int32())}) for i in range(0, len(anchors), 7))
+    parts = [t.column("anchor").to_pylist() for t in simhash.whole_anchors(stream)]
+    assert [a for p in parts for a in p] == anchors and len(parts) > 4
+    assert sum(len(set(p)) for p in parts) == len(set(anchors))
+
+
 def test_code_is_perfect():
     anchors = simhash.Anchors()
     assert (anchors.extra[anchors.start[:-1]] == 0).all()
