@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quotewright.llm import similar
 from quotewright.llm.common import batches, connected, roots, stored, whole
 
 SEED = 42
@@ -231,11 +232,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 2) -> Data
     return known.join(component, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, width: int = 3, threshold: int = 4) -> DataFrame:
+def keep_first(docs: DataFrame, width: int = 5, threshold: int = 2, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near duplicates, the one with the smallest doc_id, with all its columns.
 
-    Rows that share the smallest doc_id of their group all stay when they are the
-    group, except that equal texts under one id stay once. Rows without a doc_id stay.
+    Texts are near duplicates when their fingerprints link, or when ``similarity`` of
+    their shingles are common; the second is searched among what the first leaves, see
+    ``similar``. Rows that share a doc_id count as one document and stay or go
+    together; rows without a doc_id stay.
     """
-    groups = near_duplicates(docs, width, threshold).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti")
+    linked = stored(near_duplicates(docs, width, threshold).where("component_id <> doc_id").select("doc_id").distinct(), "linked")
+    gone = stored(linked.union(similar.copies(docs, linked, width, similarity)), "near-duplicates")
+    return docs.join(gone, "doc_id", "left_anti")

@@ -10,7 +10,7 @@ import corpus_pipeline
 from quotewright.llm import common, decontaminate, main_text, packing, quality, queries, toxicity, vectors
 
 from .conftest import DOCS, SMALL
-from .test_texts import as_set, brute_components, brute_lines, brute_simhash, check_packing
+from .test_texts import as_set, brute_kept, brute_lines, check_packing
 
 PAGE = """<html><head><title>T</title><style>p{}</style><script>if (a < b) "</p>"</script></head><body>
 <header><a href=/>Home</a></header><nav><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></nav>
@@ -200,8 +200,7 @@ def test_pipeline_stages_agree_with_brute_force(spark, documents):
         if name == "line_dedup":
             assert after == Counter({(d, t): n for (d, t, gone), n in brute_lines(before).items() if not gone or t.strip()})
         if name == "near_dedup":
-            groups = brute_components([(d, brute_simhash(t)) for d, t in before], 4)
-            first = {d for d, _, c in groups if d == c}
+            first = brute_kept(before)
             assert after == Counter(x for x in before if x[0] in first) and len(first) < len(before)
         if name == "decontamination":
             hit = {r["doc_id"] for r in decontaminate.contaminated(spark.createDataFrame(before, "doc_id long, text string"), bench).collect()}

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quotewright.llm import common, line_chunks, packing, queries, simhash, substrings, token_counts
+from quotewright.llm import common, line_chunks, packing, queries, simhash, similar, substrings, token_counts
 
 from .conftest import DOCS, SMALL
 
@@ -74,11 +74,11 @@ def test_best_two_fit_replaces_the_smallest():
     assert plan.bins == 2
 
 
-def brute_simhash(text):
+def brute_simhash(text, width=3):
     words = (text or "").encode().lower().split()
     if not words:
         return 0
-    grams = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    grams = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
     hashes = [xxhash.xxh64_intdigest(g, seed=42) for g in grams]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
@@ -163,12 +163,61 @@ def test_connected_follows_long_chains(spark):
     assert got == {**{i: 1 for i in range(2, 61)}, 101: 100, 102: 100}
 
 
+def brute_kept(items):
+    """Ids that stay of (doc_id, text): first by fingerprints of five words, then by shares of common shingles."""
+    first = {d for d, _, c in brute_components([(d, brute_simhash(t, 5)) for d, t in items]) if d == c}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, t in items if d in first and (w := (t or "").encode().lower().split())}
+    ids = sorted(sets)
+    near = [(a, b) for i, a in enumerate(ids) for b in ids[:i] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    at = {d: i for i, d in enumerate(ids)}
+    labels = common.roots(len(ids), *(np.array([at[p[k]] for p in near], dtype=int) for k in (0, 1)))
+    return first - {d for d in ids if labels[at[d]] != at[d]}
+
+
 def test_keep_first(spark):
     data = [(5, "a b c d"), (3, "a b c d"), (9, "other words stay here"), (None, "a b c d"), (3, "a b c d")]
     kept = simhash.keep_first(spark.createDataFrame(data, "doc_id long, text string"))
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [3, 3, 9, None]
 
 
+def edited(words, rng, share):
+    return [f"{w}x" if rng.random() < share else w for w in words]
+
+
+def test_near_copies_go_and_others_stay(spark):
+    """Copies with fewer and more edits than 0.8 allows, of several originals and in chains."""
+    rng = random.Random(12)
+    items, d = [], 0
+    for n in (30, 200, 3000):
+        for _ in range(4):
+            words = [f"w{rng.randrange(5000)}" for _ in range(n)]
+            for share in (0, 0.005, 0.01, 0.02, 0.06, 0.1, 0.3):
+                items.append((d := d + 1, " ".join(edited(words, rng, share))))
+    rng.shuffle(items)
+    kept = simhash.keep_first(spark.createDataFrame([(*x, 1, 2) for x in items], "doc_id long, text string, band int, node int"))
+    assert kept.columns == ["doc_id", "text", "band", "node"]
+    got = {r["doc_id"] for r in kept.collect()}
+    assert got == brute_kept(items) and 12 < len(got) < len(items) - 20
+
+
+def test_near_dedup_of_odd_rows(spark, odd_documents, odd_texts):
+    kept = simhash.keep_first(odd_documents)
+    want = brute_kept([x for x in odd_texts if x[0] is not None])
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(d for d, _ in odd_texts if d is None or d in want)
+    assert kept.columns == odd_documents.columns and simhash.keep_first(odd_documents.limit(0)).collect() == []
+
+
+def test_bands_agree_with_the_share_of_common_shingles():
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(5000)}" for _ in range(4000)]
+    a, b = (similar.shingle_set(" ".join(x), 5) for x in (words, edited(words, rng, 0.02)))
+    share = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    assert similar.alike(a.tobytes(), b.tobytes(), share - 0.001) and not similar.alike(a.tobytes(), b.tobytes(), share + 0.001)
+    assert 0.8 < share and (similar.bands(a) == similar.bands(b)).any() and (similar.bands(a) == similar.bands(a.copy())).all()
+    assert len(similar.shingle_set("", 5)) == 0 and len(similar.shingle_set("one two", 5)) == 1
+    assert not similar.alike(b"", b"", 0.8)
+
+
 def brute_substrings(texts, length=20):
     first, split = {}, []
     for d, t in texts:
