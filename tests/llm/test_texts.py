@@ -207,6 +207,22 @@ def test_near_dedup_of_odd_rows(spark, odd_documents, odd_texts):
     assert kept.columns == odd_documents.columns and simhash.keep_first(odd_documents.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("part", [512, 20])
+def test_copies_round_an_original_in_the_middle_go(spark, monkeypatch, part):
+    """Groups of copies that are like their original, but not each other, which is neither first nor last of them."""
+    monkeypatch.setattr(similar, "PART", part)
+    rng = random.Random(31)
+    items = []
+    for g in range(2):
+        words = [f"w{rng.randrange(50_000)}" for _ in range(250)]
+        for k in range(120):
+            at = rng.sample(range(250), 5) if k != 57 else ()
+            items.append((1000 * g + k, " ".join(f"{w}x{k}" if i in at else w for i, w in enumerate(words))))
+    docs = spark.createDataFrame(items, "doc_id long, text string")
+    gone = similar.copies(docs, docs.limit(0).select("doc_id"))
+    assert sorted(r["doc_id"] for r in gone.collect()) == [d for d, _ in items if d % 1000]
+
+
 def test_bands_agree_with_the_share_of_common_shingles():
     rng = random.Random(4)
     words = [f"w{rng.randrange(5000)}" for _ in range(4000)]
