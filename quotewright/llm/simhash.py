@@ -236,10 +236,11 @@ def keep_first(docs: DataFrame, width: int = 5, threshold: int = 2, similarity:
     """One row of each group of near duplicates, the one with the smallest doc_id, with all its columns.
 
     Texts are near duplicates when their fingerprints link, or when ``similarity`` of
-    their shingles are common; the second is searched among what the first leaves, see
-    ``similar``. Rows that share a doc_id count as one document and stay or go
-    together; rows without a doc_id stay.
+    their shingles are common, see ``similar``; a group forms over both kinds of links.
+    Rows that share a doc_id count as one document and stay or go together; rows without
+    a doc_id stay.
     """
-    linked = stored(near_duplicates(docs, width, threshold).where("component_id <> doc_id").select("doc_id").distinct(), "linked")
-    gone = stored(linked.union(similar.copies(docs, linked, width, similarity)), "near-duplicates")
+    found = near_duplicates(docs, width, threshold).where("component_id <> doc_id")
+    links = stored(found.select(F.col("doc_id").cast("long").alias("u"), F.col("component_id").alias("v")).distinct(), "linked")
+    gone = stored(similar.copies(docs, links, width, similarity), "near-duplicates")
     return docs.join(gone, "doc_id", "left_anti")

@@ -179,19 +179,20 @@ def open_links(docs: DataFrame, known: DataFrame, joined: DataFrame, width: int,
     return rows.join(sets, "doc_id").groupBy("band", "apart", "i", "j").applyInArrow(run, "u long, v long")
 
 
-def copies(docs: DataFrame, without: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Ids (doc_id) of the texts of ``docs`` that are like one with a smaller id, itself or over others.
+def copies(docs: DataFrame, links: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Ids (doc_id) of the texts of ``docs`` that are joined with one of a smaller id, by itself or over others.
 
-    ``docs`` has doc_id and text; ids in ``without`` (doc_id) take no part. Likeness is the
-    share of common shingles among all of both texts. Missing and empty texts, and
-    rows without a doc_id, are like nothing; rows that share a doc_id count as one text.
+    ``docs`` has doc_id and text. Texts are joined when they are alike, and by ``links``
+    (u, v), which come from elsewhere; groups form over both kinds. Likeness is the share
+    of common shingles among all of both texts. Missing and empty texts, and rows without
+    a doc_id, are like nothing; rows that share a doc_id count as one text.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    known = stored(banded(docs, width), "bands").join(without, "doc_id", "left_anti")
+    known = stored(banded(docs, width), "bands")
     classes = stored(known.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "set-classes")
     equal = known.join(classes.select("same", F.col("doc_id").alias("v")), "same").where("doc_id <> v").select(F.col("doc_id").alias("u"), "v")
     near = compared(docs, stored(candidates(classes), "candidates"), width, similarity)
-    joined = connected(equal.union(near), "similar-texts")
+    joined = connected(links.union(equal).union(near), "similar-texts")
     more = stored(open_links(docs, classes, joined, width, similarity), "open-links")
     if not more.isEmpty():
         joined = connected(joined.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more), "similar-texts")

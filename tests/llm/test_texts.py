@@ -219,10 +219,20 @@ def test_copies_round_an_original_in_the_middle_go(spark, monkeypatch, part):
             at = rng.sample(range(250), 5) if k != 57 else ()
             items.append((1000 * g + k, " ".join(f"{w}x{k}" if i in at else w for i, w in enumerate(words))))
     docs = spark.createDataFrame(items, "doc_id long, text string")
-    gone = similar.copies(docs, docs.limit(0).select("doc_id"))
+    gone = similar.copies(docs, spark.createDataFrame([], "u long, v long"))
     assert sorted(r["doc_id"] for r in gone.collect()) == [d for d, _ in items if d % 1000]
 
 
+def test_groups_form_over_both_kinds_of_links(spark, monkeypatch):
+    """1 and 2 have near fingerprints, 2 and 3 like shingles; 1 and 3 have neither."""
+    words = [f"w{i}" for i in range(100)]
+    items = [(1, "quite another text"), (2, " ".join(words)), (3, " ".join([*words, "end"])), (4, "a text of its own")]
+    found = spark.createDataFrame([(1, "", 1), (2, "", 1), (3, "", 3), (4, "", 4)], "doc_id long, fingerprint string, component_id long")
+    monkeypatch.setattr(simhash, "near_duplicates", lambda *_: found)
+    kept = simhash.keep_first(spark.createDataFrame(items, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4]
+
+
 def test_bands_agree_with_the_share_of_common_shingles():
     rng = random.Random(4)
     words = [f"w{rng.randrange(5000)}" for _ in range(4000)]
