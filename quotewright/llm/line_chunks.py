@@ -5,6 +5,11 @@ divisible by DIVISOR, so the same run of lines is cut alike wherever it stands.
 of two or more lines are compared over all documents by digest first, without their
 text; then the bytes of each candidate are compared with those of the first chunk of
 its digest. The first one stays, the others go.
+
+Chunks miss most passages of a few lines. ``passage_dedup`` adds every repeated run of
+lines of over PASSAGE_WORDS words, wherever it begins: of each line
+that is not blank, the shortest such run from it and the shortest up to it are compared
+over all documents by SHA-256. These runs cover each longer one in full.
 """
 
 from __future__ import annotations
@@ -13,12 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quotewright.functions.binding import once
-from quotewright.llm.common import order_id, stored, whole, with_lists
+from quotewright.llm.common import order_id, possible, stored, whole, with_lists
 
 WINDOW = 2
 BASE = 31
 DIVISOR = 4
 LEAST_LINES = 2
+#: A repeated run of lines goes if it has more words than this.
+PASSAGE_WORDS = 50
+#: Lines that hold a run nearly always; longer ones are summed up separately.
+NEAR_LINES = 8
 
 
 def line_hash(line: Column) -> Column:
@@ -72,6 +81,62 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return same.groupBy("did", "text_id").agg(F.collect_set(F.struct("start", "length")).alias("cuts"))
 
 
+def reach(words: Column, k: Column, within: int) -> Column:
+    """Number of lines from line ``k`` (from 1) that have more than PASSAGE_WORDS words together; null if ``within`` have not."""
+    summed = F.aggregate(
+        F.slice(words, k, within), F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines")),
+        lambda acc, w: F.when(acc["words"] > PASSAGE_WORDS, acc).otherwise(F.struct((acc["words"] + w).alias("words"), (acc["lines"] + 1).alias("lines"))))
+    return F.when(summed["words"] > PASSAGE_WORDS, summed["lines"])
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """Shortest runs of over PASSAGE_WORDS words from and up to each line: at, size (in lines that are not blank), spots and run.
+
+    ``docs`` has did, text_id, text; ``spots`` are the numbers (from 1) of all lines that are not blank.
+    """
+    rows = once(docs.select("did", "text_id", F.split("text", "\n", -1).alias("all_lines")), {
+        "spots": F.filter(F.sequence(F.lit(1), F.size("all_lines")), lambda i: F.get("all_lines", i - 1).rlike(r"\S"))})
+    rows = once(rows, {"lines": F.transform("spots", lambda i: F.get("all_lines", i - 1))}).drop("all_lines")
+    rows = once(rows, {"words": F.transform("lines", lambda x: F.size(F.split(F.regexp_replace(x, r"^\s+|\s+$", ""), r"\s+")))})
+    rows = once(rows.where("aggregate(words, 0, (a, w) -> a + w) > " + str(PASSAGE_WORDS)), {"back": F.reverse("words")})
+    n, places = F.size("words"), F.sequence(F.lit(1), F.size("words"))
+
+    def sizes(words: str) -> Column:
+        # a line that is not blank has a word, so this many lines are enough
+        return F.transform(places, lambda k: F.coalesce(reach(F.col(words), k, NEAR_LINES), reach(F.col(words), k, PASSAGE_WORDS + 1)))
+
+    ahead = F.zip_with(places, sizes("words"), lambda k, size: F.struct(k.alias("at"), size.alias("size")))
+    behind = F.zip_with(places, sizes("back"), lambda k, size: F.struct((n - k - size + 2).alias("at"), size.alias("size")))
+    found = once(rows, {"found": F.array_distinct(F.filter(F.concat(ahead, behind), lambda r: r["size"].isNotNull()))})
+    flat = found.select("did", "text_id", "spots", "lines", F.inline("found"))
+    return flat.select("did", "text_id", "at", "size", "spots", joined(F.col("at"), F.col("size")).alias("run"))
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """Runs of passages that an earlier one equals, as ``cuts`` (start, length) of each did and text_id."""
+    runs = passages(docs)
+    repeated = stored(runs.groupBy(F.xxhash64("run").alias("key")).count().where("count > 1").select("key"), "repeated-runs")
+    maybe = possible(runs, F.xxhash64("run"), repeated).where("maybe")
+    # the lines that a run spans, with blank ones inside, and the place of each line of it
+    found = stored(maybe.select("did", "text_id", "at", "size", F.slice("spots", F.col("at"), F.col("size")).alias("spots"), F.unhex(F.sha2("run", 256)).alias("digest")), "runs")
+    first = stored(
+        found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("did", "at", "text_id")).alias("first")).where("n > 1").drop("n"), "first-runs")
+    later = (
+        found.join(first, "digest").where("did <> first.did or (text_id = first.text_id and at > first.at)")
+        # of a run that overlaps its first one, in a text that repeats itself, only what lies beyond
+        .withColumn("skip", F.when(F.col("did") == F.col("first.did"), F.greatest(F.lit(0), F.col("first.at") + F.col("size") - F.col("at"))).otherwise(0))
+        .where("skip < size")
+    )
+    begin, end = F.get("spots", F.col("skip")), F.get("spots", F.col("size") - 1)
+    cuts = later.select("did", "text_id", begin.alias("start"), (end - begin + 1).alias("length"))
+    return cuts.groupBy("did", "text_id").agg(F.collect_set(F.struct("start", "length")).alias("cuts"))
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(order_id().alias("did"), F.xxhash64(whole()).alias("text_id"), whole().alias("text"), row.alias("row"))
+
+
 def line_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` without repeated chunks: all its columns with the new text, and lines_removed.
 
@@ -80,10 +145,24 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     from which nothing goes is unchanged, a missing one stays missing. Rows without a
     doc_id come last and, like rows that share a doc_id, count as one document.
     """
+    keyed = keyed_rows(docs)
+    return without_lines(docs, keyed, stored(repeated_chunks(keyed.drop("row")), "cuts"))
+
+
+def passage_dedup(docs: DataFrame) -> DataFrame:
+    """As ``line_dedup``, but repeated passages of over PASSAGE_WORDS words go too, wherever they begin.
+
+    Blank lines do not count in a passage; those inside one go with it.
+    """
+    keyed = keyed_rows(docs)
+    both = repeated_chunks(keyed.drop("row")).union(repeated_passages(keyed.drop("row")))
+    cuts = both.groupBy("did", "text_id").agg(F.array_distinct(F.flatten(F.collect_list("cuts"))).alias("cuts"))
+    return without_lines(docs, keyed, stored(cuts, "cuts"))
+
+
+def without_lines(docs: DataFrame, keyed: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``docs`` without the lines of ``cuts``, and lines_removed; ``keyed`` are its ``keyed_rows``."""
     names = docs.columns
-    row = F.struct(*[F.col(f"`{c}`") for c in names])
-    keyed = docs.select(order_id().alias("did"), F.xxhash64(whole()).alias("text_id"), whole().alias("text"), row.alias("row"))
-    cuts = stored(repeated_chunks(keyed.drop("row")), "cuts")
     lines = once(with_lists(keyed, cuts, "cuts"), {"lines": F.when(F.col("cuts").isNotNull(), F.split("text", "\n", -1))})
     gone = F.flatten(F.transform("cuts", lambda c: F.sequence(c["start"], c["start"] + c["length"] - 1)))
     kept = once(lines, {"kept": F.array_except(F.sequence(F.lit(1), F.size("lines")), gone)})

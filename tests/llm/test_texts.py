@@ -319,6 +319,33 @@ def test_line_dedup(spark, odd_documents, odd_texts):
     assert not [r for r in got.collect() if r["n_chars"] != len(r["text"] or "")]
 
 
+def test_repeated_passages_of_few_lines_go(spark):
+    """Passages of over 50 words, of one to five lines, inside otherwise different documents; shorter ones stay."""
+    rng = random.Random(6)
+
+    def line(n):
+        return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+    texts, want = [], {}
+    for k, sizes in enumerate(([51], [26, 26], [20, 20, 20], [10, 15, 15, 15], [60, 2, 3], [2, 3, 60], [12] * 5, [50], [25, 25])):
+        passage = [line(n) for n in sizes]
+        for d in range(3):
+            before, after = [line(9), line(30)], [line(8), line(28)]
+            inside = [x for y in passage for x in ((y, "") if d == 1 else (y,))][: None if d != 1 else -1]
+            texts.append((10 * k + d, "\n".join(before + inside + after)))
+            want[10 * k + d] = before + (inside if d == 0 or sum(sizes) <= 50 else []) + after
+    own = [line(30), line(30)]
+    texts += [(900, "\n".join(own * 4)), (901, "\n".join(["tick"] * 200)), (None, own[0] + "\n" + own[1])]
+    want |= {900: own, 901: ["tick"] * 51, None: [""]}
+    got = line_chunks.passage_dedup(spark.createDataFrame(texts, "doc_id long, text string"))
+    # chunks may take some lines of the short ones as well
+    short = {d for k in (7, 8) for d in (10 * k + 1, 10 * k + 2)}
+    found = {r["doc_id"]: r["text"].split("\n") for r in got.collect()}
+    assert {d: t for d, t in found.items() if d not in short | {901}} == {d: t for d, t in want.items() if d not in short | {901}}
+    assert set(found[901]) == {"tick"} and all(len([x for x in found[d] if x]) >= 4 for d in short)
+    assert line_chunks.passage_dedup(spark.createDataFrame([], DOCS)).collect() == []
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], DOCS)
     for operator in (token_counts.token_counts, packing.best_two_fit, simhash.near_duplicates, simhash.keep_first,
