@@ -11,11 +11,13 @@ from quotewright.llm import (
     main_text,
     packing,
     quality,
+    sharding,
     simhash,
     substrings,
     token_counts,
     toxicity,
     vectors,
+    whitening,
 )
 from quotewright.llm.common import table
 
@@ -61,7 +63,15 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_two_fit(table(spark, sf_dir, "documents"))
 
 
+def op12_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {q.__name__: q for q in (
     op1_token_counts, op2_main_text, op3_simhash, op4_line_chunks, op5_quality, op6_vectors, op7_decontaminate, op8_toxicity,
-    op9_substrings, op10_best_two_fit)}
-ORACLES = {"op4_line_chunks": line_chunks.SQL, "op6_vectors": vectors.SQL}
+    op9_substrings, op10_best_two_fit, op12_ring_shards, op13_whitening)}
+ORACLES = {"op4_line_chunks": line_chunks.SQL, "op6_vectors": vectors.SQL, "op12_ring_shards": sharding.SQL}
