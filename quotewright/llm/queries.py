@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotewright.llm import (
+    alignment,
     decontaminate,
     line_chunks,
     main_text,
@@ -63,6 +64,10 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_two_fit(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def op12_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
@@ -73,5 +78,5 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (
     op1_token_counts, op2_main_text, op3_simhash, op4_line_chunks, op5_quality, op6_vectors, op7_decontaminate, op8_toxicity,
-    op9_substrings, op10_best_two_fit, op12_ring_shards, op13_whitening)}
+    op9_substrings, op10_best_two_fit, op11_alignment, op12_ring_shards, op13_whitening)}
 ORACLES = {"op4_line_chunks": line_chunks.SQL, "op6_vectors": vectors.SQL, "op12_ring_shards": sharding.SQL}
