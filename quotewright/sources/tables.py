@@ -142,6 +142,16 @@ SELECT o_orderkey AS request_id,
 FROM {orders}
 """
 
+# Requests of the forty uploading devices in the first minutes of the uploads, with the
+# name of who asks. One of forty sends no device id.
+PROMPT_REQUESTS = f"""
+SELECT r.*,
+       CASE WHEN request_id % 40 = 7 THEN '' ELSE concat('device-', lpad(cast(request_id % 40 AS varchar(20)), 8, '0')) END AS upload_device,
+       1704067200000000 + ((request_id * 7919) % 1700) * 1000000 AS ts_us,
+       CASE request_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'Ada' WHEN 2 THEN 'Team Six' END AS user_name
+FROM ({REQUESTS}) r
+"""
+
 QUICK_LINES = """
 SELECT conv_id * 1000 + turn AS line_id, concat('Proposal for ', text, ' in ',
        CASE conv_id % 3 WHEN 0 THEN 'AWS' WHEN 1 THEN 'python' ELSE 'Go' END,
