@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quotewright.functions import quick_fill as quick
 from quotewright.functions import text
-from quotewright.operators import reports, responses, risks, timeline
+from quotewright.operators import assembly, reports, responses, risks, timeline
 from quotewright.operators.team import estimate_team
 from quotewright.plans.inputs import documents, sql_normalise, sql_pattern, sql_strip, sql_text, valid_requests, with_ctes
 from quotewright.plans.pricing import sql_sanitize
@@ -77,6 +77,24 @@ def join_cells(spark, sf):
         text.join_cells(cells, keep_blanks=True).alias("sheet_row"))
 
 
+# Every line of a document is a row of its sheet, named after its source, and a row of a word table.
+@query(f"""SELECT doc_id, md5(sheet) AS sheet_md5, cast(length(sheet) AS bigint) AS sheet_chars, left(words, 12000) AS word_text, cast(length(words) AS bigint) AS word_chars FROM (
+    SELECT doc_id, concat('[Sheet: ', min(source), ']', coalesce(chr(10) || string_agg(sheet_row, chr(10) ORDER BY row_no) FILTER (WHERE sheet_row IS NOT NULL), '')) AS sheet,
+           string_agg(nullif(doc_row, ''), chr(10) ORDER BY row_no) AS words
+    FROM (SELECT doc_id, source, row_no, array_to_string(list_filter(list_transform(cells, lambda x: {sql_strip('x')}), lambda x: x <> ''), ' | ') AS doc_row,
+                 CASE WHEN len(list_filter(cells, lambda x: x <> '')) > 0 THEN array_to_string(cells, ' | ') END AS sheet_row
+          FROM (SELECT doc_id, source, generate_subscripts(lines, 1) - 1 AS row_no, string_split(unnest(lines), ', ') AS cells
+                FROM (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents) a) b) c GROUP BY doc_id) d""")
+def assemble_texts(spark, sf):
+    lines = tables.read_table(spark, sf, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("row_no", "line"))
+    rows = lines.select("doc_id", F.lit(0).alias("sheet_no"), F.col("source").alias("sheet"), "row_no", F.split("line", ", ").alias("cells"))
+    sheets = assembly.assembled(assembly.sheet_lines(rows)).select("doc_id", F.md5("text").alias("sheet_md5"), F.col("chars").alias("sheet_chars"))
+    none = rows.select("doc_id", F.lit(0).alias("at"), F.lit("").alias("text")).limit(0)
+    words = assembly.assembled(assembly.word_lines(none, rows.select("doc_id", F.col("row_no").alias("at"), "cells")), limit=12_000)
+    words = words.select("doc_id", F.col("text").alias("word_text"), F.col("chars").alias("word_chars"))
+    return sheets.join(words, "doc_id", "left")
+
+
 @query(f"""SELECT line_id, project_title, CASE WHEN contains(project_title, 'Inc') OR contains(project_title, 'Corp') THEN project_title ELSE '' END AS client_name,
     coalesce(nullif(regexp_extract(lower(txt), '(?i){quick.INDUSTRY}', 1), ''), 'Technology') AS industry,
     coalesce(try_cast(nullif(regexp_extract(txt, '(?i){quick.MONTHS}', 1), '') AS bigint), 6) AS duration_months,
@@ -138,22 +156,39 @@ def parse_response(spark, sf):
         "timeline_text", joined(listed).alias("risks"), joined(F.col("deliverables")).alias("deliverables"))
 
 
-@query(with_ctes(f"""SELECT request_id, concat('Order ', cast(request_id AS varchar), ' summary') AS executive_summary,
-    'Build, Ship' AS phases, 'r' AS risks, 'a, b' AS deliverables FROM raw_responses WHERE {_OK}""", "raw_responses"))
+# Whole documents and turns as nested JSON of several shapes, with keys that no section has.
+_NESTED = """SELECT doc_id AS id, to_json(named_struct('note', text, 'by', named_struct('lang', concat('*', lang, '*'), 'chars', n_chars),
+      'parts', array(array(concat('# ', source)), array(text, source)))) AS js FROM {documents}
+    UNION ALL SELECT -1 - conv_id * 1000 - turn, to_json(named_struct('turns', array(named_struct('`role`', role, 'text', concat('- ', text)))))
+    FROM {conversations}"""
+
+
+@query(f"""SELECT doc_id AS id, {sql_clean('text')} AS note, {sql_clean("concat('*', lang, '*')")} AS lang, n_chars AS chars,
+    {sql_clean("concat('# ', source)")} AS first_part, {sql_clean('text')} AS second_part, CAST(NULL AS VARCHAR) AS role, CAST(NULL AS VARCHAR) AS turn FROM documents
+    UNION ALL SELECT -1 - conv_id * 1000 - turn, NULL, NULL, NULL, NULL, NULL, {sql_clean('role')}, {sql_clean("concat('- ', text)")} FROM conversations""")
 def clean_value(spark, sf):
-    parsed = responses.parse_response(tables.view(spark, sf, tables.RAW_RESPONSES)).where("status = 'ok'")
-    return parsed.select(
-        "request_id", "executive_summary", F.array_join("timeline.phase", ", ").alias("phases"),
-        F.array_join("risk_assessment.risk", ", ").alias("risks"), F.array_join("deliverables", ", ").alias("deliverables"))
+    nested = tables.view(spark, sf, _NESTED).select("id", responses.clean_value(F.try_parse_json("js")).alias("v"))
+
+    def get(path, kind="string"):
+        return F.try_variant_get("v", path, kind)
+
+    return nested.select(
+        "id", get("$.note").alias("note"), get("$.by.lang").alias("lang"), get("$.by.chars", nested_type(spark, sf)).alias("chars"),
+        get("$.parts[0][0]").alias("first_part"), get("$.parts[1][0]").alias("second_part"),
+        get("$.turns[0]['`role`']").alias("role"), get("$.turns[0].text").alias("turn"))
+
+
+def nested_type(spark, sf):
+    return tables.read_table(spark, sf, "documents").schema["n_chars"].dataType.simpleString()
 
 
-def ok_sections(spark, sf):
-    return responses.parse_response(tables.view(spark, sf, tables.RAW_RESPONSES)).where("status = 'ok'")
+def ok_sections(spark, sf, name):
+    return responses.parse_response(tables.view(spark, sf, tables.RAW_RESPONSES), (name,)).where("status = 'ok'")
 
 
 @query(with_ctes(f"""SELECT request_id, unnest(['1.', '2.']) AS no, unnest(['a', 'b']) AS deliverable FROM raw_responses WHERE {_OK}""", "raw_responses"))
 def deliverable_rows(spark, sf):
-    return reports.deliverable_rows(ok_sections(spark, sf))
+    return reports.deliverable_rows(ok_sections(spark, sf, "deliverables"))
 
 
 @query(with_ctes(f"""SELECT request_id, pos, phase, concat(weeks, 'w') AS duration, '' AS description FROM (
@@ -163,13 +198,13 @@ def deliverable_rows(spark, sf):
     b AS (SELECT *, {_BUILD} AS build FROM (SELECT request_id, expected_weeks, 1 + request_id % 9 AS ship FROM raw_responses WHERE {_OK}) s)
     SELECT request_id, pos""", 1))
 def timeline_rows(spark, sf):
-    return reports.timeline_rows(ok_sections(spark, sf))
+    return reports.timeline_rows(ok_sections(spark, sf, "timeline"))
 
 
 @query(with_ctes(f"""SELECT request_id, 8 AS section_no, 0 AS pos, 'r' AS risk, 'Medium' AS impact, '-' AS probability, '' AS mitigation
     FROM raw_responses WHERE {_OK}""", "raw_responses"))
 def risk_rows(spark, sf):
-    return reports.risk_rows(ok_sections(spark, sf), has_team=True)
+    return reports.risk_rows(ok_sections(spark, sf, "risk_assessment"), has_team=True)
 
 
 _IMPACT = "CASE lower(trim(impact)) WHEN 'high' THEN 'High' WHEN 'low' THEN 'Low' ELSE 'Medium' END"

@@ -1,9 +1,11 @@
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from quotewright.operators import responses
+from quotewright.operators import pricing, reports, responses, team
 
 GOOD = {
     "executive_summary": "**A** b", "technical_approach": 5,
@@ -82,3 +84,80 @@ def test_digest(spark):
 def test_read_sections(spark):
     df = spark.createDataFrame([(1, '{"a": 1}'), (2, "{bad"), (3, ""), (4, None)], "id bigint, sections_json string")
     assert [r.id for r in responses.read_sections(df).where("sections IS NOT NULL").collect()] == [1]
+
+
+def plain_clean(text):
+    text = re.sub(r"#{1,6}\s*", "", re.sub(r"\*{1,3}", "", text))
+    text = re.sub(r"^\s*[-*+]\s+", "", text, flags=re.MULTILINE).replace("`", "")
+    return re.sub(r"\s+", " ", re.sub(r"\[([^\]]+)\]\([^)]+\)", r"\1", text)).strip()
+
+
+def deep_clean(value):
+    if isinstance(value, str):
+        return plain_clean(value)
+    if isinstance(value, dict):
+        return {k: deep_clean(v) for k, v in value.items()}
+    return [deep_clean(v) for v in value] if isinstance(value, list) else value
+
+
+def random_json(rng, depth):
+    bits = ["*a*", "# b", "\n- c", "`d`", "[t](u)", '"q"', "\\", '\\"', "é", " ", ":", '":', '",', "{", "]", " ", "\t", "\x07", "\\u0041", "/"]
+    text = lambda: "".join(rng.choice(bits) for _ in range(rng.randint(0, 6)))
+    kind = rng.random()
+    if depth == 0 or kind < 0.4:
+        return rng.choice([text(), text(), 1, -2.5, 10**20, None, True])
+    if kind < 0.7:
+        return [random_json(rng, depth - 1) for _ in range(rng.randint(0, 4))]
+    return {text(): random_json(rng, depth - 1) for _ in range(rng.randint(0, 4))}
+
+
+def test_clean_value_of_any_shape(spark):
+    """Random nested values, great depth, and a text of very many escapes."""
+    rng = random.Random(1)
+    values = [random_json(rng, 6) for _ in range(1_500)]
+    values += [{"deep": json.loads("[" * 200 + '"*x*"' + "]" * 200)}, "*" * 5 + "y\\" * 20_000, "", {}, [[]]]
+    df = spark.createDataFrame([(i, json.dumps(v, ensure_ascii=rng.random() < 0.5)) for i, v in enumerate(values)], "i int, j string")
+    found = df.select("i", F.to_json(responses.clean_value(F.try_parse_json("j"))).alias("o")).collect()
+    assert all(json.loads(r.o) == deep_clean(values[r.i]) for r in found)
+    missing = spark.createDataFrame([(None,)], "j string").select(responses.clean_value(F.try_parse_json("j"))).first()[0]
+    assert missing is None
+
+
+def test_other_keys_come_back(spark):
+    reply = {"executive_summary": "a", "timeline": [{"phase": "*p*", "weeks": 8, "owner": {"name": "`Ann`"}}], "appendix": {"notes": ["# n", 3]}}
+    df = spark.createDataFrame([(1, json.dumps(reply), 8)], "request_id bigint, raw string, expected_weeks int")
+    kept = responses.parse_response(df).select(F.to_json("sections")).first()[0]
+    assert json.loads(kept) == deep_clean(reply)
+
+
+def test_sections_that_are_not_wanted_are_not_computed(spark):
+    df = spark.createDataFrame([(1, json.dumps(GOOD), 8)], "request_id bigint, raw string, expected_weeks int")
+    plan = responses.parse_response(df, ("deliverables",)).select("deliverables")._jdf.queryExecution().optimizedPlan().toString()
+    assert "$.deliverables" in plan and "risk_assessment" not in plan and "executive_summary" not in plan and "is_object" not in plan
+    assert responses.parse_response(df, ("deliverables",)).columns == ["request_id", "expected_weeks", "sections", "status", "deliverables", "deliverables_text"]
+
+
+def test_a_text_of_marks_alone_is_no_blank_reply(spark):
+    assert parse(spark, '"**"').status == "error"
+
+
+def test_requests_without_a_reply_stay(spark):
+    requests = spark.createDataFrame(
+        [(1, "T", "it", 3, 50, ["go"]), (2, "U", "it", 3, 50, ["go"])],
+        "request_id bigint, project_title string, industry string, duration_months int, expected_users bigint, tech_stack array<string>")
+    replies = spark.createDataFrame([(1, json.dumps(GOOD), 12), (9, "x", 12)], "request_id bigint, raw string, expected_weeks int")
+    full = reports.proposal_projection(team.estimate_team(pricing.estimate_cost(requests)), responses.parse_response(replies))
+    rows = {r.request_id: (r.status, json.loads(r.stored)) for r in full.select("request_id", "status", reports.stored_sections(full).alias("stored")).collect()}
+    assert {k: v[0] for k, v in rows.items()} == {1: "ok", 2: "missing"}
+    stored = rows[1][1]
+    assert stored["deliverables"] == ["a", "b"] and stored["estimated_cost"]["total_estimated_cost"] > 0
+    assert stored["team_composition"][0]["role"] == "Project Manager" and stored["timeline"][0]["phase"] == "Build"
+
+
+def test_body_rows(spark):
+    raw = [(1, json.dumps({"timeline": "# soon", "risk_assessment": [], "deliverables": ["a"]}), 4), (2, "just text", 4)]
+    parsed = responses.parse_response(spark.createDataFrame(raw, "request_id bigint, raw string, expected_weeks int"))
+    rows = reports.body_rows(parsed, has_team=False).orderBy("request_id", "pos").collect()
+    assert [(r.heading, r.body) for r in rows if r.request_id == 1] == [
+        ("2. Executive Summary", "N/A"), ("3. Technical Approach", "N/A"), ("5. Project Timeline", "soon")]
+    assert [r.heading for r in rows if r.request_id == 2][-1] == "7. Risk Assessment" and {r.body for r in rows if r.request_id == 2} == {"just text"}
