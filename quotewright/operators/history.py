@@ -13,36 +13,45 @@ HISTORY_LIMIT = 100
 
 
 def registrations(events: DataFrame) -> DataFrame:
-    """First registration, last refresh and last non-blank name per device."""
+    """First registration, last refresh, and last non-blank name with its time, per device."""
     order = F.struct("ts", "event_id")
     name = stored_user_name(F.col("user_name"))
     return events.where("action = 'register'").groupBy("device_id").agg(
         F.min(order).alias("first_seen"),
         F.max("ts").alias("last_registered"),
         F.max_by(F.when(name != "", name), F.when(name != "", order)).alias("user_name"),
+        F.max(F.when(name != "", order)).alias("named_at"),
     )
 
 
-def device_rollup(events: DataFrame) -> DataFrame:
-    """One row per registered device; only proposals after its registration count.
+def proposals_after(hourly: DataFrame, proposals: DataFrame, devices: DataFrame) -> DataFrame:
+    """proposal_count and last_proposal after ``first_seen`` of each device that has any.
 
-    Proposals are counted per device and hour before they meet the registration, so a
-    device with very many shrinks where it is read. Single rows matter only in the hour
-    of the registration itself.
+    ``hourly`` has n and last per device and hour; single rows of ``proposals`` (with
+    their hour) matter only in the hour of the registration itself.
     """
-    devices = registrations(events)
-    hour = F.date_trunc("hour", "ts")
-    proposals = events.where("action = 'record_proposal'").select("device_id", "ts", "event_id", hour.alias("hour"))
     first = devices.select("device_id", "first_seen", F.date_trunc("hour", F.col("first_seen.ts")).alias("first_hour"))
-    hourly = proposals.groupBy("device_id", "hour").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
     later = hourly.join(first, "device_id").where("hour > first_hour").select("device_id", "n", "last")
     same = (
         proposals.join(first.withColumnRenamed("first_hour", "hour"), ["device_id", "hour"])
         .where(F.struct("ts", "event_id") > F.col("first_seen"))
         .groupBy("device_id").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
     )
-    counted = later.unionByName(same).groupBy("device_id").agg(
+    return later.unionByName(same).groupBy("device_id").agg(
         F.sum("n").alias("proposal_count"), F.max("last").alias("last_proposal"))
+
+
+def device_rollup(events: DataFrame) -> DataFrame:
+    """One row per registered device; only proposals after its registration count.
+
+    Proposals are counted per device and hour before they meet the registration, so a
+    device with very many shrinks where it is read.
+    """
+    devices = registrations(events)
+    hour = F.date_trunc("hour", "ts")
+    proposals = events.where("action = 'record_proposal'").select("device_id", "ts", "event_id", hour.alias("hour"))
+    hourly = proposals.groupBy("device_id", "hour").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    counted = proposals_after(hourly, proposals, devices)
     return devices.join(counted, "device_id", "left").select(
         "device_id",
         F.coalesce("user_name", F.lit("")).alias("user_name"),

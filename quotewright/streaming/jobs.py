@@ -2,72 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from quotewright.operators.history import device_rollup
 from quotewright.operators.pricing import estimate_cost
-from quotewright.operators.validation import accepted, validate_requests
+from quotewright.operators.validation import accepted, quarantined, validate_requests
+from quotewright.streaming import batches
+from quotewright.streaming.batches import BATCH
+from quotewright.streaming.device_state import device_state, stream_device_state
+from quotewright.streaming.upload_sessions import stream_upload_sessions
 
-SESSION_GAP = "10 minutes"
+__all__ = ["device_state", "price_batch", "pricing_counts", "stream_device_state", "stream_pricing", "stream_upload_sessions"]
 
-
-def stream_pricing(requests: DataFrame, out: str, checkpoint: str) -> None:
-    """Price accepted requests as they arrive. Stateless, so late or repeated runs are harmless."""
-    priced = estimate_cost(accepted(validate_requests(requests)))
-    query = (
-        priced.writeStream.format("parquet").option("path", out)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+COUNTS = f"requests bigint, accepted bigint, rejected bigint, {BATCH} bigint"
 
 
-def stream_upload_sessions(uploads: DataFrame, out: str, checkpoint: str, lateness: str) -> None:
-    """Close a device's upload session ten minutes after its last upload.
+def price_batch(requests: DataFrame, batch_id: int, out: str) -> None:
+    """Price the accepted requests of a batch and keep the rejected ones with what they violate.
 
-    The state per session is a few numbers, not the documents. A session comes out
-    when the watermark, ``lateness`` behind the newest upload, has passed its end; those
-    still open wait for later uploads. Uploads older than the watermark are not counted.
+    The batch is read once: it is checked and held, and its counts are observed on the
+    way to the first sink. Both sinks and the counts have a folder per batch, so a batch that
+    runs again replaces its rows instead of adding them twice.
     """
-    sessions = (
-        uploads.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
-        .groupBy("device_id", F.session_window("ts", SESSION_GAP).alias("session"))
-        .agg(F.count("*").alias("files"))
-        .select("device_id", F.col("session.start").alias("session_start"),
-                F.col("session.end").alias("session_end"), "files")
-    )
-    query = (
-        sessions.writeStream.format("parquet").option("path", out).outputMode("append")
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    seen = Observation(f"pricing-{batch_id}")
+    fine = F.size("violations") == 0
+    checked = validate_requests(requests).persist()
+    try:
+        counted = checked.observe(
+            seen, F.count("*").alias("requests"), F.count(F.when(fine, 1)).alias("accepted"), F.count(F.when(~fine, 1)).alias("rejected"))
+        batches.put(quarantined(counted), f"{out}/rejected", batch_id)
+        batches.put(estimate_cost(accepted(checked)), f"{out}/priced", batch_id)
+        found = seen.get
+        counts = requests.sparkSession.createDataFrame(
+            [(found["requests"], found["accepted"], found["rejected"])], COUNTS.replace(f", {BATCH} bigint", ""))
+        batches.put(counts, f"{out}/counts", batch_id)
+    finally:
+        checked.unpersist()
+
+
+def pricing_counts(spark: SparkSession, out: str) -> DataFrame:
+    return batches.read(spark, f"{out}/counts", COUNTS)
 
 
-DEVICE_ACTIONS = ("register", "record_proposal")
-DEVICE_SCHEMA = "event_id bigint, ts timestamp_ntz, device_id string, action string, user_name string, batch_id bigint"
-
-
-def device_state(spark: SparkSession, table: str) -> DataFrame:
-    """The device table from everything that has arrived, in whatever order it came."""
-    return device_rollup(spark.read.schema(DEVICE_SCHEMA).parquet(table))
-
-
-def stream_device_state(events: DataFrame, table: str, checkpoint: str) -> None:
-    """Keep what the device table needs of each batch.
-
-    An earlier registration may arrive after proposals that then count, so no batch is
-    settled on its own: a batch adds its few columns and reads none of the others. Every
-    batch writes its own folder, so one that is run again replaces what it wrote before.
-    """
-    spark = events.sparkSession
-    spark.createDataFrame([], DEVICE_SCHEMA).drop("batch_id").write.mode("overwrite").parquet(f"{table}/batch_id=-1")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.where(F.col("action").isin(*DEVICE_ACTIONS)).select("event_id", "ts", "device_id", "action", "user_name")
-        kept.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
-
+def stream_pricing(requests: DataFrame, out: str, checkpoint: str) -> None:
+    """Price requests as they arrive into ``out``/priced, ``out``/rejected and ``out``/counts."""
     query = (
-        events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        requests.writeStream.foreachBatch(lambda batch, batch_id: price_batch(batch, batch_id, out))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
