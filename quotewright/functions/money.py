@@ -28,6 +28,18 @@ def hundredths_text(c: Column) -> Column:
     return F.concat(whole, F.lit("."), part)
 
 
+def fraction_text(bps: Column) -> Column:
+    """Basis points as the shortest fraction: 1500 -> 0.15, 1000 -> 0.1, 1250 -> 0.125, 12000 -> 1.2."""
+    rest = F.rtrim(F.lpad((bps % 10_000).cast("string"), 4, "0"), F.lit("0"))
+    return F.concat(div(bps, 10_000).cast("string"), F.lit("."), F.when(rest == "", "0").otherwise(rest))
+
+
+def percent_text(bps: Column) -> Column:
+    """Basis points as the shortest percent: 1500 -> 15, 1250 -> 12.5, 1205 -> 12.05."""
+    rest = F.rtrim(F.lpad((bps % 100).cast("string"), 2, "0"), F.lit("0"))
+    return F.concat(div(bps, 100).cast("string"), F.when(rest == "", "").otherwise(F.concat(F.lit("."), rest)))
+
+
 def rupees(paise: Column) -> Column:
     """Paise as an exact decimal amount of rupees."""
     return (paise / F.lit(100).cast("decimal(3,0)")).cast("decimal(24,2)")

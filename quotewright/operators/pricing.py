@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quotewright import seeds
 from quotewright.functions.binding import once
 from quotewright.functions.industry import resolve_industry
-from quotewright.functions.money import div, hundredths_text, round_div, rupees
+from quotewright.functions.money import div, fraction_text, hundredths_text, round_div, rupees
 
 COST_PARTS = (
     "development_cost", "infrastructure_cost", "contingency", "discount",
@@ -17,9 +17,13 @@ COST_PARTS = (
 
 
 def multiplier_lookup(
-    requests: DataFrame, contingency_pct: int = seeds.DEFAULT_CONTINGENCY_PCT
+    requests: DataFrame, contingency_bps: int = 100 * seeds.DEFAULT_CONTINGENCY_PCT
 ) -> DataFrame:
-    """Add the industry multipliers; unresolved industries get the neutral ones."""
+    """Add the industry multipliers; unresolved industries get the neutral ones.
+
+    The contingency is the larger of the industry's and the given one, in basis points;
+    ``contingency_pct`` has its whole percent.
+    """
     resolved = once(requests, {"industry_applied": resolve_industry(F.col("industry"))})
     found = seeds.lookup(
         resolved, seeds.industry_multipliers(requests.sparkSession), "industry_applied"
@@ -28,11 +32,9 @@ def multiplier_lookup(
         "industry_applied": F.coalesce("industry_applied", F.lit(seeds.UNRESOLVED_LABEL)),
         "dev_pct": F.coalesce(F.col("dev_pct").cast("bigint"), F.lit(100).cast("bigint")),
         "infra_pct": F.coalesce(F.col("infra_pct").cast("bigint"), F.lit(100).cast("bigint")),
-        "contingency_pct": F.greatest(
-            F.col("contingency_pct"), F.lit(contingency_pct)
-        ).cast("bigint"),
+        "contingency_bps": F.greatest(F.col("contingency_pct").cast("bigint") * 100, F.lit(contingency_bps).cast("bigint")),
         "cost_adjustment_reason": F.coalesce("reason", F.lit(seeds.DEFAULT_REASON)),
-    }).drop("reason")
+    }).withColumn("contingency_pct", div(F.col("contingency_bps"), 100)).drop("reason")
 
 
 def user_tier(users: Column, tiers=seeds.USER_TIERS, top=seeds.TOP_TIER_PAISE) -> Column:
@@ -46,27 +48,28 @@ def user_tier(users: Column, tiers=seeds.USER_TIERS, top=seeds.TOP_TIER_PAISE) -
 def estimate_cost(
     requests: DataFrame,
     rate_paise: int = seeds.DEV_RATE_PAISE,
-    contingency_pct: int = seeds.DEFAULT_CONTINGENCY_PCT,
+    contingency_bps: int = 100 * seeds.DEFAULT_CONTINGENCY_PCT,
     discount_bps: int = 0,
     tiers=seeds.USER_TIERS,
     top_tier_paise: int = seeds.TOP_TIER_PAISE,
 ) -> DataFrame:
     """Price every request: one broadcast lookup, no shuffle.
 
-    Amounts are exact in units of 1/10000 paise until each one is rounded once.
+    Rates are whole basis points. Amounts are exact in units of a millionth of a paisa
+    until each one is rounded once.
     """
-    unit = 10_000
-    priced = multiplier_lookup(requests, contingency_pct)
+    unit = 1_000_000
+    priced = multiplier_lookup(requests, contingency_bps)
     months, users = F.col("duration_months").cast("bigint"), F.col("expected_users").cast("bigint")
     dev_rate = F.lit(rate_paise).cast("bigint") * F.col("dev_pct")
     per_user = user_tier(users, tiers, top_tier_paise) * F.col("infra_pct")
-    dev = dev_rate * months * 100
-    infra = per_user * users * 100
-    contingency = dev_rate * months * F.col("contingency_pct")
+    dev = dev_rate * months * 10_000
+    infra = per_user * users * 10_000
+    contingency = dev_rate * months * F.col("contingency_bps")
     subtotal = dev + infra + contingency
     # Split so that the product with the discount rate stays within 64 bits.
     discount = (
-        div(subtotal, unit) * discount_bps + div((subtotal % unit) * discount_bps, unit)
+        div(subtotal, 10_000) * discount_bps + div((subtotal % 10_000) * discount_bps, 10_000)
         if discount_bps else F.lit(0).cast("bigint")
     )
     total = subtotal - discount
@@ -85,11 +88,12 @@ def estimate_cost(
             round_div(per_user, 100).alias("infra_per_user"),
             round_div(dev_rate, 100).alias("dev_rate_per_month"),
             F.col("contingency_pct").alias("contingency_pct"),
+            F.col("contingency_bps").alias("contingency_bps"),
             F.lit(discount_bps).cast("bigint").alias("discount_bps"),
             F.col("dev_pct").alias("industry_dev_pct"),
             F.col("infra_pct").alias("industry_infra_pct"),
         ),
-    }).drop("dev_pct", "infra_pct", "contingency_pct")
+    }).drop("dev_pct", "infra_pct", "contingency_pct", "contingency_bps")
 
 
 def in_rupees(estimates: DataFrame) -> DataFrame:
@@ -99,17 +103,13 @@ def in_rupees(estimates: DataFrame) -> DataFrame:
 
 def details_json(details: Column) -> Column:
     """The ``details`` struct as JSON text with amounts in rupees and rates as fractions."""
-    bps = details["discount_bps"]
-    discount_text = F.when(
-        bps % 100 == 0, hundredths_text(div(bps, 100))
-    ).otherwise(F.concat(F.lit("0."), F.rtrim(F.lpad(bps.cast("string"), 4, "0"), F.lit("0"))))
     fields = (
         ("duration_months", details["duration_months"].cast("string")),
         ("expected_users", details["expected_users"].cast("string")),
         ("infra_per_user", hundredths_text(details["infra_per_user"])),
         ("dev_rate_per_month", hundredths_text(details["dev_rate_per_month"])),
-        ("contingency_pct", hundredths_text(details["contingency_pct"])),
-        ("discount_pct", discount_text),
+        ("contingency_pct", fraction_text(details["contingency_bps"])),
+        ("discount_pct", fraction_text(details["discount_bps"])),
         ("industry_dev_multiplier", hundredths_text(details["industry_dev_pct"])),
         ("industry_infra_multiplier", hundredths_text(details["industry_infra_pct"])),
     )

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quotewright.functions.money import amount_text, hundredths_text, round_div
+from quotewright.functions.money import amount_text, hundredths_text, percent_text, round_div
+from quotewright.functions.dates import long_date
 from quotewright.functions.text import tech_csv, thousands
 from quotewright.operators.pricing import COST_PARTS, details_json
 
@@ -66,7 +67,7 @@ def cost_table_rows(estimates: DataFrame) -> DataFrame:
         )
 
     contingency = F.concat(
-        F.lit("Contingency ("), F.col("details.contingency_pct").cast("string"), F.lit("%)")
+        F.lit("Contingency ("), percent_text(F.col("details.contingency_bps")), F.lit("%)")
     )
     rows = F.array(
         row(1, "Development Cost", "development_cost"),
@@ -143,10 +144,55 @@ def deliverable_rows(sections: DataFrame) -> DataFrame:
     )
 
 
-def proposal_projection(sections: DataFrame, estimates: DataFrame, teams: DataFrame) -> DataFrame:
-    """The full response per request: sections, cost and team joined on the request."""
-    cost = estimates.select(
-        "request_id",
-        F.struct(*COST_PARTS, "currency", "industry_applied", "cost_adjustment_reason", "details").alias("estimated_cost"),
+def proposal_projection(planned: DataFrame, sections: DataFrame) -> DataFrame:
+    """The full response per request: cost, team and sections in one join.
+
+    ``planned`` are priced requests with their team, which are row-local. A request without a
+    reply stays, with ``status`` missing; a reply without a request is left out.
+    """
+    cost = F.struct(*COST_PARTS, "currency", "industry_applied", "cost_adjustment_reason", "details")
+    joined = planned.select("request_id", cost.alias("estimated_cost"), "team").join(sections, "request_id", "left")
+    return joined.withColumn("status", F.coalesce("status", F.lit("missing")))
+
+
+def _either(name: str) -> Column:
+    """A list section as it is stored: the list, or the text where it is none."""
+    return F.when(F.col(name).isNotNull(), F.to_variant_object(F.col(name))).otherwise(F.col(f"{name}_text").cast("variant"))
+
+
+def stored_sections(full: DataFrame) -> Column:
+    """Sections, cost and team of a row of ``proposal_projection`` as one JSON text, as the history stores them."""
+    return F.to_json(F.struct(
+        "executive_summary", "technical_approach", *[_either(name).alias(name) for name in ("timeline", "risk_assessment", "deliverables")],
+        "estimated_cost", F.col("team").alias("team_composition")))
+
+
+def cover_rows(requests: DataFrame, as_of: Column) -> DataFrame:
+    """The labelled lines of the cover page; without a client there is no line for it."""
+    values = (
+        ("Prepared for", F.nullif("client_name", F.lit(""))),
+        ("Industry", F.coalesce("industry", F.lit(""))),
+        ("Duration", F.concat(F.coalesce(F.col("duration_months").cast("string"), F.lit("")), F.lit(" months"))),
+        ("Users", F.concat(thousands(F.coalesce("expected_users", F.lit(0))), F.lit("+"))),
+        ("Tech Stack", tech_top4(F.col("tech_stack"))),
+        ("Date", long_date(as_of)),
     )
-    return sections.join(cost, "request_id").join(teams.select("request_id", "team"), "request_id")
+    rows = F.array(*[F.when(v.isNotNull(), F.struct(F.lit(i).alias("pos"), F.lit(k).alias("label"), v.alias("value"))) for i, (k, v) in enumerate(values)])
+    return requests.select("request_id", "project_title", F.inline(F.array_compact(rows)))
+
+
+# Headings of the report in their order, with the column of their body text.
+BODY_SECTIONS = (
+    ("2. Executive Summary", "executive_summary"), ("3. Technical Approach", "technical_approach"),
+    ("4. Key Deliverables", "deliverables_text"), ("5. Project Timeline", "timeline_text"),
+)
+RISK_HEADING = "Risk Assessment"
+
+
+def body_rows(sections: DataFrame, has_team: bool) -> DataFrame:
+    """Heading and running text of each section that is text, and not a table, in report order."""
+    named = [*BODY_SECTIONS, (f"{8 if has_team else 7}. {RISK_HEADING}", "risk_assessment_text")]
+    rows = F.array(*[
+        F.when(F.col(name).isNotNull(), F.struct(F.lit(i).alias("pos"), F.lit(heading).alias("heading"), F.col(name).alias("body")))
+        for i, (heading, name) in enumerate(named)])
+    return sections.select("request_id", F.inline(F.array_compact(rows)))

@@ -45,6 +45,13 @@ def upload_requests(spark: SparkSession, sf: str) -> DataFrame:
     return asks.withColumn("ts", from_epoch_micros(F.col("ts_us"))).drop("ts_us")
 
 
+def prompt_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Valid requests with the device and time of their uploads, and the user's name."""
+    asks = with_lists(tables.view(spark, sf, tables.PROMPT_REQUESTS))
+    asks = asks.withColumns({"ts": from_epoch_micros(F.col("ts_us")), "device_id": F.col("upload_device")}).drop("ts_us", "upload_device")
+    return accepted(validate_requests(asks))
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_table(spark, sf, "documents").select("doc_id", "text")
 
@@ -101,6 +108,7 @@ CTES = {
     "artifacts": tables.portable(tables.ARTIFACTS),
     "uploads": tables.portable(tables.UPLOADS),
     "upload_requests": tables.portable(tables.UPLOAD_REQUESTS),
+    "prompt_requests": tables.portable(tables.PROMPT_REQUESTS),
     "quick_lines": tables.portable(tables.QUICK_LINES),
     "mult": seeds.values_sql(seeds.MULTIPLIERS, seeds.MULTIPLIER_COLUMNS),
     "aliases": seeds.values_sql(seeds.numbered(seeds.COST_ALIASES), seeds.ALIAS_COLUMNS),
@@ -177,6 +185,13 @@ def with_ctes(select: str, *names: str) -> str:
 COST = ("requests", "valid", "mult", "aliases", "keys", "resolved_hit", "resolved", "costs")
 TEAM = ("requests", "valid", "mult", "aliases", "roles", "keys", "resolved_hit", "resolved", "members", "team")
 KB = ("requests", "valid", "mult", "kb_aliases", "kb", "keys", "kb_resolved_hit", "kb_resolved")
+CTES["reference"] = """
+    SELECT q.request_id, string_agg(p.part, chr(10) || chr(10) ORDER BY p.ts_us, p.upload_id, p.pos) AS reference_text
+    FROM prompt_requests q
+    JOIN (SELECT device_id, start_us, max(ts_us) + 600000000 AS end_us FROM parts GROUP BY ALL) s
+      ON s.device_id = q.upload_device AND q.ts_us BETWEEN s.start_us AND s.end_us
+    JOIN parts p ON p.device_id = s.device_id AND p.start_us = s.start_us AND p.ts_us <= q.ts_us
+    GROUP BY q.request_id"""
 UPLOAD = ("uploads", "verdicts", "kept")
 
 

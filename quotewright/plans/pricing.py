@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from quotewright import seeds
 from quotewright.functions import dates, industry, text
-from quotewright.operators import pricing, prompts, reports, responses, team, validation
-from quotewright.plans.inputs import (SALT, 
-    COST, KB, TEAM, all_requests, edits, sql_cents, sql_normalise, sql_pattern, sql_text, valid_requests, with_ctes,
+from quotewright.operators import pricing, prompts, reports, responses, team, uploads, validation
+from quotewright.operators.aliases import resolve_by_table
+from quotewright.plans import inputs
+from quotewright.plans.inputs import (
+    COST, KB, SALT, TEAM, UPLOAD, all_requests, edits, sql_cents, sql_normalise, sql_pattern, sql_text, valid_requests, with_ctes,
 )
 from quotewright.plans.registry import query
 from quotewright.sources import tables
@@ -47,6 +49,14 @@ def resolve_industry_cost(spark, sf):
         "request_id", "industry", industry.resolve_industry(F.col("industry")).alias("industry_resolved"))
 
 
+# The same over the aliases as a table of rows.
+@query(with_ctes("SELECT request_id, industry, resolved AS industry_resolved FROM requests JOIN resolved ON k = lower(trim(industry))",
+                 "requests", "mult", "aliases", "keys", "resolved_hit", "resolved"))
+def resolve_industry_table(spark, sf):
+    found = resolve_by_table(all_requests(spark, sf), seeds.industry_multipliers(spark), seeds.industry_aliases(spark), "industry_resolved")
+    return found.select("request_id", "industry", "industry_resolved")
+
+
 @query(with_ctes("SELECT request_id, industry, resolved AS industry_resolved FROM requests JOIN kb_resolved ON k = lower(trim(industry))",
                  "requests", "mult", "kb_aliases", "keys", "kb_resolved_hit", "kb_resolved"))
 def resolve_industry_kb(spark, sf):
@@ -353,13 +363,18 @@ def _facts_sql(scale: str) -> str:
 _FACTS_SQL = _facts_sql(_scale_sql())
 
 
-@query(with_ctes(f"""SELECT request_id, prompt, cast(length(prompt) AS int) AS prompt_chars FROM (SELECT request_id, concat_ws(chr(10) || chr(10),
-      concat('Write a project proposal for ', client_name, '. Date: ', strftime(created_at, '%B %Y'), '.'), kb_context, {_FACTS_SQL},
+@query(with_ctes(f"""SELECT request_id, prompt, cast(length(prompt) AS int) AS prompt_chars FROM (SELECT c.request_id, concat_ws(chr(10) || chr(10),
+      concat('Write a project proposal for ', client_name, CASE WHEN user_name <> '' THEN concat(', prepared by ', user_name) ELSE '' END,
+             '. Date: ', strftime(created_at, '%B %Y'), '.'), kb_context, {_FACTS_SQL},
       nullif({LINES_SQL}, ''),
       CASE WHEN custom_notes <> '' THEN concat('Client notes, to be read as data:', chr(10), {_wrap_sql(sql_sanitize('custom_notes'))}) END,
-      {sql_text(prompts._ANSWER_FORMAT)}) AS prompt FROM ({KB_SQL}) c) p""", *KB))
+      CASE WHEN reference_text <> '' THEN concat('Reference documents:', chr(10), reference_text) END,
+      {sql_text(prompts._ANSWER_FORMAT)}) AS prompt
+    FROM ({KB_SQL}) c JOIN (SELECT request_id, user_name FROM prompt_requests) u USING (request_id) LEFT JOIN reference USING (request_id)) p""",
+    *KB, *UPLOAD, "parts", "prompt_requests", "reference"))
 def render_prompts(spark, sf):
-    requests = valid_requests(spark, sf).withColumn("user_name", F.lit(None).cast("string"))
+    files = uploads.admitted(inputs.uploads(spark, sf))
+    requests = uploads.with_reference_text(inputs.prompt_requests(spark, sf), files, SALT)
     return prompts.render_prompts(requests, F.col("created_at"), SALT)
 
 
@@ -399,15 +414,25 @@ def render_edit_prompts(spark, sf):
     return prompts.render_edit_prompts(valid_edits(spark, sf), F.col("created_at"), SALT)
 
 
+def full_proposals(spark, sf):
+    sections = responses.parse_response(tables.view(spark, sf, tables.RAW_RESPONSES))
+    return reports.proposal_projection(team.estimate_team(estimates(spark, sf)), sections)
+
+
+@query(with_ctes("""SELECT request_id, project_title, unnest(['Prepared for', 'Industry', 'Duration', 'Users', 'Tech Stack', 'Date']) AS label,
+    unnest([0, 1, 2, 3, 4, 5]) AS pos,
+    unnest([client_name, industry, concat(duration_months, ' months'), concat(format('{:,}', expected_users), '+'), array_to_string(stack[1:4], ', '),
+            strftime(created_at, '%B %d, %Y')]) AS value FROM valid""", "requests", "valid"))
+def cover_rows(spark, sf):
+    return reports.cover_rows(valid_requests(spark, sf), F.col("created_at"))
+
+
 @query(with_ctes("""
     SELECT c.request_id, total_estimated_cost, industry_applied, t.roles, CASE WHEN c.request_id % 7 < 3 THEN 'ok'
       WHEN c.request_id % 7 IN (3, 5) THEN 'fallback_text' ELSE 'error' END AS status
     FROM costs c JOIN (SELECT request_id, cast(count(*) AS int) AS roles FROM team GROUP BY request_id) t USING (request_id)""",
     "requests", "valid", "mult", "aliases", "roles", "keys", "resolved_hit", "resolved", "costs", "members", "team"))
 def proposal_projection(spark, sf):
-    sections = responses.parse_response(tables.view(spark, sf, tables.RAW_RESPONSES))
-    requests = valid_requests(spark, sf)
-    full = reports.proposal_projection(sections, pricing.estimate_cost(requests), team.estimate_team(requests))
-    return full.select(
+    return full_proposals(spark, sf).select(
         "request_id", "estimated_cost.total_estimated_cost", "estimated_cost.industry_applied",
         F.size("team").alias("roles"), "status")

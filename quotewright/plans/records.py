@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quotewright.functions import dates, text
-from quotewright.operators import history, uploads, validation
+from quotewright.operators import history, reports, uploads, validation
 from quotewright.operators.pricing import COST_PARTS
 from quotewright.operators.responses import read_sections as stored_sections
 from quotewright.plans import inputs
 from quotewright.plans.inputs import COST, UPLOAD, iso, with_ctes
-from quotewright.plans.pricing import AMOUNTS, estimates
+from quotewright.plans.pricing import AMOUNTS, estimates, full_proposals
 from quotewright.plans.registry import query
 from quotewright.sources import artifacts as files
 from quotewright.sources import cost_reports, proposals, requests, scratch, tables
@@ -216,17 +216,31 @@ def read_cost_reports(spark, sf):
         "details.duration_months", "details.contingency_pct")
 
 
-@query(with_ctes("""SELECT request_id AS id, device_id, client_name, coalesce(nullif(provider, ''), 'ollama') AS provider, 'auto' AS model,
-    CASE WHEN request_id % 7 <> 5 THEN raw END AS sections_json, strftime(created_at, '%Y-%m') AS created_month
-    FROM requests JOIN raw_responses USING (request_id)""", "requests", "raw_responses"))
+# The second batch is added twice, as by a job that ran again.
+@query(with_ctes("""SELECT v.request_id AS id, v.device_id, v.client_name, coalesce(nullif(v.provider, ''), 'ollama') AS provider, 'auto' AS model,
+    strftime(v.created_at, '%Y-%m') AS created_month, concat('half-', v.request_id % 2) AS batch,
+    CASE WHEN v.request_id % 7 < 3 THEN concat('Order ', v.request_id, ' summary') END AS executive_summary,
+    CASE WHEN v.request_id % 7 < 3 THEN 'b' END AS second_deliverable, c.total_estimated_cost, t.roles
+    FROM valid v JOIN costs c USING (request_id)
+    JOIN (SELECT request_id, cast(count(*) AS int) AS roles FROM team GROUP BY request_id) t USING (request_id)""",
+    "requests", "valid", "mult", "aliases", "roles", "keys", "resolved_hit", "resolved", "costs", "members", "team"))
 def append_proposals(spark, sf):
     path = scratch.fresh_path(spark, "proposals")
-    rows = inputs.all_requests(spark, sf).join(
-        tables.view(spark, sf, tables.RAW_RESPONSES).select("request_id", F.col("raw").alias("sections_json")), "request_id"
-    ).select(
+    full = full_proposals(spark, sf)
+    full = full.select("request_id", reports.stored_sections(full).alias("sections_json"))
+    rows = inputs.valid_requests(spark, sf).join(full, "request_id").select(
         F.col("request_id").alias("id"), "device_id", "client_name", "provider", F.lit(" ").substr(2, 1).alias("model"),
         "sections_json", "created_at")
-    proposals.append_proposals(rows, path)
-    return proposals.read_proposals(spark, path).select(
-        "id", "device_id", "client_name", "provider", "model", "sections_json",
-        F.col("created_month").cast("string").alias("created_month"))
+    for half in (0, 1, 1):
+        proposals.append_proposals(rows.where(F.col("id") % 2 == half), path, f"half-{half}")
+    history_rows = proposals.read_proposals(spark, path)
+    sections = stored_sections(history_rows).select("id", "sections")
+
+    def get(what, kind):
+        return F.try_variant_get("sections", what, kind)
+
+    is_text = get("$.deliverables[1]", "string").isNotNull()
+    return history_rows.join(sections, "id").select(
+        "id", "device_id", "client_name", "provider", "model", F.col("created_month").cast("string").alias("created_month"), "batch",
+        F.when(is_text, get("$.executive_summary", "string")).alias("executive_summary"), get("$.deliverables[1]", "string").alias("second_deliverable"),
+        get("$.estimated_cost.total_estimated_cost", "bigint").alias("total_estimated_cost"), F.size(get("$.team_composition", "array<variant>")).alias("roles"))

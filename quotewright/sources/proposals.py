@@ -25,13 +25,16 @@ def history_rows(proposals: DataFrame) -> DataFrame:
     })
 
 
-def append_proposals(proposals: DataFrame, path: str) -> None:
-    """Append history rows to the table at ``path``, one folder per month.
+def append_proposals(proposals: DataFrame, path: str, batch: str) -> None:
+    """Add history rows to the table at ``path``, one folder per month and batch.
 
-    The rebalance lets Spark split busy months and join quiet ones by their real size.
+    Only the folders of the months that ``batch``, the caller's name for this input, has are
+    written, and they are replaced: running a batch again gives the same table. The
+    rebalance lets Spark split busy months and join quiet ones by their real size.
     """
-    rows = history_rows(proposals).hint("rebalance", F.col("created_month"))
-    rows.write.mode("append").partitionBy("created_month").parquet(path)
+    rows = history_rows(proposals).withColumn("batch", F.lit(batch)).hint("rebalance", F.col("created_month"))
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("created_month", "batch").parquet(path)
 
 
 def read_proposals(spark: SparkSession, path: str) -> DataFrame:

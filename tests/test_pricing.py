@@ -135,3 +135,20 @@ def test_seed_sizes():
     assert len(seeds.MULTIPLIERS) == len(seeds.KNOWLEDGE_BASE) == 31
     assert len(seeds.COST_ALIASES) == 89 and len(seeds.KB_ALIASES) == 119 and len(seeds.EXTRA_ROLES) == 13
     assert {owner for _, owner in (*seeds.COST_ALIASES, *seeds.KB_ALIASES)} <= set(seeds.INDUSTRIES)
+
+
+def test_contingency_and_discount_in_basis_points(spark):
+    """12.5 % where the industry has less, its own rate where it has more; a discount shows as a row and in the JSON."""
+    df = spark.createDataFrame([(1, 5, 500, "zz"), (2, 5, 500, "healthcare")], "request_id bigint, duration_months int, expected_users bigint, industry string")
+    found = {r.request_id: r for r in pricing.estimate_cost(df, contingency_bps=1250, discount_bps=333).collect()}
+    assert found[1].contingency == 75_000_000 * 125 // 1000 and found[2].contingency == 101_250_000 * 15 // 100
+    subtotal = found[1].development_cost + found[1].infrastructure_cost + found[1].contingency
+    assert found[1].discount == (subtotal * 333 + 5000) // 10_000
+    assert found[1].total_estimated_cost == (subtotal * 9_667 + 5000) // 10_000
+    estimates = pricing.estimate_cost(df, contingency_bps=1250, discount_bps=333)
+    labels = [r.label for r in reports.cost_table_rows(estimates).where("request_id = 1").orderBy("pos").collect()]
+    assert labels[2:5] == ["Contingency (12.5%)", "Discount Applied", "TOTAL ESTIMATED COST"]
+    shares = reports.cost_shares(estimates).where("request_id = 1").orderBy("pos").collect()
+    assert shares[-1].component == "Discount" and abs(sum(r.share_permille for r in shares) - 1000) <= 2
+    text = {r.key: r.value for r in reports.cost_report_kv(estimates).where("request_id = 1").collect()}["details"]
+    assert '"contingency_pct": 0.125, "discount_pct": 0.0333' in text
