@@ -3,10 +3,11 @@
 Both tokenizers cut the same bytes. A byte offset where tokens of both end is a shared
 cut. An interval is divided at the shared cut nearest to its middle, which bisecting one
 list of ends for the ends of the other finds, and both halves are treated alike; an
-interval without a cut is a leaf, a group of tokens that belong together. Words behind a
-single space are intervals that both tokenizers are known to end, so a text is first
-divided into its words, and equal words are one problem, solved once per worker and kept
-in a bounded memo. A text that does not fall apart like that is one interval.
+interval without a cut is a leaf, a group of tokens that belong together. Some cuts are
+known beforehand: before the space of a word and, where no piece holds both, between
+letters and other signs. A text is first divided there, and equal intervals are one
+problem, solved once per worker and kept in a bounded memo. A text that does not fall
+apart like that is one interval.
 
 Corpus counts: in how many documents an id pair is linked. Tasks sum the pairs of many
 documents before they are shuffled. A table of fixed size with the most frequent pairs is
@@ -21,9 +22,13 @@ worker then holds its tokens. Other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import re
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
@@ -33,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quotewright.llm.common import Memo, arrow_schema, batches, stored, whole, worker_value
+from quotewright.llm.common import arrow_schema, batches, stored, whole, worker_value
 from quotewright.llm.packing import LOOSE
 
 BYTE_MODEL, PIECE_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -54,9 +59,13 @@ def leaves(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     the other side, are known not to be cuts and are not searched again.
     """
     found = [(len(a), len(b))]
+    if len(a) == 1 or len(b) == 1:
+        return found
     todo = [(0, len(a) - 1, 0, len(b) - 1)]  # tokens of a whose ends may be cuts, and the span of b they can be in
     while todo:
         low, high, b_low, b_high = todo.pop()
+        if low >= high or b_low >= b_high:
+            continue
         middle = (low + high) // 2
         for step in range(max(middle - low + 1, high - middle)):
             hit = -1
@@ -89,53 +98,127 @@ def groups_and_links(a_ids: list[int], a_ends: list[int], b_ids: list[int], b_en
     return len(texts), ";".join(texts), codes
 
 
-class Aligner(Memo):
-    """Per word with its space: (tokens of a, tokens of b, groups, text of the groups, codes), or None without tokens."""
+#: Latin letters, and texts of other signs than those and ASCII, of two white-space
+#: characters in a row, or of an apostrophe before a letter (a contraction).
+LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+ODD = re.compile(rf"[^\x00-\x7f{LETTER}]|\s\s|'[{LETTER}]")
+#: A run of letters with its leading space, or a run of other signs up to such a space.
+RUN = re.compile(rf" ?[{LETTER}]+|(?:(?! [{LETTER}])[^{LETTER}])+")
+WORD = re.compile(rf" [{LETTER}]+")
+IS_LETTER = re.compile(f"[{LETTER}]")
+
+
+class Aligner:
+    """Per interval that both tokenizers are known to end: (tokens of a, tokens of b, groups, text of the groups, codes).
+
+    None where a tokenizer does not give the bytes back. Intervals with a leading space
+    stand alone like that; others follow something else. ``known`` has the intervals met
+    lately; when it is full it becomes ``older``, from which what is met again comes back.
+    """
+
+    MOST, LONGEST = 200_000, 60
 
     def __init__(self, byte_path: str, piece_path: str):
-        self.bytes_of = Tokenizer.from_file(byte_path)
-        self.bytes_of.encode_special_tokens = True
-        self.pieces_of = sentencepiece.SentencePieceProcessor(model_file=piece_path)
+        self.a_of = Tokenizer.from_file(byte_path)
+        self.a_of.encode_special_tokens = True
+        self.b_of = sp = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         byte_of = {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
-        vocabulary = self.bytes_of.get_vocab(with_added_tokens=True)
+        self.printable = {b: 256 + n for n, b in enumerate(hidden)}
+        self.space = chr(self.printable[32])
+        self.a_model = self.a_of.model
+        vocabulary = self.a_of.get_vocab(with_added_tokens=True)
         self.a_bytes = {i: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t, i in vocabulary.items()}
-        sp = self.pieces_of
+        self.a_size = {i: len(t) for i, t in self.a_bytes.items()}
         self.width = sp.get_piece_size()
-        self.b_bytes = [
-            bytes([int(p[3:5], 16)]) if sp.is_byte(k) else p.replace(MARK, " ").encode()
-            for k in range(self.width) for p in (sp.id_to_piece(k),)]
-        super().__init__(lambda word: self.solve(word), 200_000, 60)
+        pieces = [sp.id_to_piece(k) for k in range(self.width)]
+        plain = [not (sp.is_byte(k) or sp.is_control(k) or sp.is_unknown(k)) for k in range(self.width)]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if sp.is_byte(k) else p.replace(MARK, " ").encode() for k, p in enumerate(pieces)]
+        self.b_text = [p if kept else "" for p, kept in zip(pieces, plain, strict=True)]
+        self.b_size = [len(p) for p in self.b_bytes]
+        # runs of letters and of other signs can be encoded apart if no piece holds both
+        inner = [p.lstrip(MARK) for p, kept in zip(pieces, plain, strict=True) if kept]
+        self.by_runs = not any(IS_LETTER.search(p) and re.search(f"[^{LETTER}]", p) for p in inner)
+        self.before_sign, self.before_letter = sp.encode("a"), sp.encode(",")
+        self.known: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}
+        # hundreds of thousands of kept results would be walked again and again
+        gc.freeze()
+        gc.set_threshold(100_000, 50, 1_000)
 
     def solve(self, text: str) -> tuple | None:
-        """Encode and align ``text`` as one interval; None if a tokenizer does not give its bytes back."""
-        a = self.bytes_of.encode(f" {text}", add_special_tokens=False).ids
-        b = self.pieces_of.encode(text)
+        """Encode and align ``text`` as one interval."""
+        a = self.a_of.encode(text, add_special_tokens=False).ids
+        if text[0] == " ":
+            b = self.b_of.encode(text[1:])
+        else:
+            head, sign = (self.before_letter, ",") if IS_LETTER.match(text) else (self.before_sign, "a")
+            b = self.b_of.encode(sign + text)
+            if b[: len(head)] != head:
+                return None
+            b = b[len(head) :]
         a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        want = f" {text}".encode()
+        want = text.encode()
         if b"".join(a_parts) != want or b"".join(b_parts) != want:
             return None
-        a_ends, b_ends = np.cumsum([len(p) for p in a_parts]).tolist(), np.cumsum([len(p) for p in b_parts]).tolist()
-        n, shown, codes = groups_and_links(a, a_ends, b, b_ends, self.width)
-        return len(a), len(b), n, shown, np.array(codes, np.int64).tobytes()
+        return self.linked(a, [*map(len, a_parts)], b, [*map(len, b_parts)])
+
+    def solve_words(self, words: list[str]) -> list[tuple | None]:
+        """The same for runs of letters with their space: one pre-token each, which the model alone splits, without loss."""
+        out = []
+        for text in words:
+            b = self.b_of.encode(text[1:])  # one by one: a call for many starts a thread
+            if "".join([self.b_text[i] for i in b]) != MARK + text[1:]:
+                out.append(self.solve(text))
+                continue
+            shown = self.space + text[1:] if text.isascii() else text.encode().decode("latin-1").translate(self.printable)
+            a = [t.id for t in self.a_model.tokenize(shown)]
+            out.append(self.linked(a, [self.a_size[i] for i in a], b, [self.b_size[i] for i in b]))
+        return out
+
+    def linked(self, a: list[int], a_sizes: list[int], b: list[int], b_sizes: list[int]) -> tuple:
+        n, shown, codes = groups_and_links(a, [*accumulate(a_sizes)], b, [*accumulate(b_sizes)], self.width)
+        return len(a), len(b), n, shown, array("q", codes).tobytes()
+
+    def solved(self, runs: list[str]) -> list[tuple | None]:
+        """Of each interval of a text; each distinct one is solved once."""
+        if len(self.known) >= self.MOST:
+            self.known, self.older = {}, self.known
+        fresh = set(runs).difference(self.known)
+        again = {r for r in fresh if r in self.older}
+        self.known.update((r, self.older[r]) for r in again)
+        fresh -= again
+        words = [r for r in fresh if self.by_runs and WORD.fullmatch(r)]
+        self.known.update(zip(words, self.solve_words(words), strict=True))
+        self.known.update((r, self.solve(r)) for r in fresh.difference(words))
+        found = [self.known[r] for r in runs]
+        for long in [r for r in fresh if len(r) > self.LONGEST]:
+            del self.known[long]
+        return found
+
+    def parts(self, text: str) -> list[tuple]:
+        """The solved intervals of a text, in order; none if it has no tokens."""
+        if not text:
+            return []
+        found: list[tuple | None] = [None]
+        if not LOOSE.search(text):
+            by_runs = self.by_runs and not ODD.search(text)
+            found = self.solved(RUN.findall(f" {text}") if by_runs else [f" {word}" for word in text.split(" ")])
+        if None in found:
+            found = [self.solve(f" {text}")]
+        return [] if found == [None] else found
 
     def document(self, text: str) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
         """n_a, n_b, n_groups, n_links, groups_sha256, codes (ascending, distinct) and how often each."""
-        solved = None
-        if text and not LOOSE.search(text):
-            parts = [self[w] for w in text.split(" ")]
-            if None not in parts:
-                n_a, n_b, n, shown, codes = zip(*parts, strict=True)
-                solved = sum(n_a), sum(n_b), sum(n), ";".join(shown), b"".join(codes)
-        if text and solved is None:
-            solved = self.solve(text)
-        if solved is None:
+        parts = self.parts(text)
+        if not parts:
             return 0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int32)
-        n_a, n_b, n, shown, codes = solved
-        every = np.frombuffer(codes, np.int64)
+        n_a, n_b, n, shown, codes = zip(*parts, strict=True)
+        every = np.frombuffer(b"".join(codes), np.int64)
         distinct, times = np.unique(every, return_counts=True)
-        return n_a, n_b, n, len(every), hashlib.sha256(shown.encode()).hexdigest(), distinct, times.astype(np.int32)
+        sha = hashlib.sha256(";".join(shown).encode()).hexdigest()
+        return sum(n_a), sum(n_b), sum(n), len(every), sha, distinct, times.astype(np.int32)
 
 
 def lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -255,9 +338,7 @@ def aligned_groups(docs: DataFrame, byte_path: str | None = None, piece_path: st
         aligner = worker_value(f"aligner {byte_path} {piece_path}", lambda: Aligner(byte_path, piece_path))
         out = []
         for text in rows["text"].to_pylist():
-            parts = [aligner[w] for w in text.split(" ")] if text and not LOOSE.search(text) else [None]
-            parts = [aligner.solve(text)] if text and None in parts else parts
-            shown = [g.split("|") for p in parts if p for g in p[3].split(";")]
+            shown = [g.split("|") for p in aligner.parts(text) for g in p[3].split(";")]
             out.append([{"a": list(map(int, a.split(","))), "b": list(map(int, b.split(",")))} for a, b in shown])
         return {"doc_id": rows["doc_id"], "groups": out}
 
