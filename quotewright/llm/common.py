@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from quotewright.session import prepare
 from quotewright.sources import scratch
@@ -83,10 +83,25 @@ def arrow_schema(schema: str | StructType) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
+def with_rows(docs: DataFrame) -> tuple[DataFrame, Callable[[dict[str, list]], list[str]]]:
+    """Whole rows as the column ``row``, and what reads their texts in a batch.
+
+    The texts are read out of the rows, so a batch holds them once.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    if isinstance(docs.schema["text"].dataType, StringType):
+        return docs.select(row), lambda rows: [t or "" for t in rows["row"].field("text").to_pylist()]
+    return docs.select(row, whole().alias("text")), lambda rows: rows["text"].to_pylist()
+
+
 def worker_value(name: str, make: Callable[[], Any]) -> Any:
-    """A value made once per Python worker and kept for its later tasks, such as a loaded tokenizer."""
+    """A value made once per Python worker and kept for its later tasks, such as a loaded tokenizer.
+
+    Workers serve one stage after the other, so what another operator has left is let go.
+    """
     store = sys.__dict__.setdefault("_corpus_worker_values", {})
     if name not in store:
+        store.clear()
         store[name] = make()
     return store[name]
 

@@ -11,7 +11,7 @@ are kept and verified by an alignment within the band.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StructField, StructType
 
-from quotewright.llm.common import batches, stored, whole
+from quotewright.llm.common import batches, stored, whole, with_rows
 
 Q = 10
 PATTERN, STRIDE = 80, 40
@@ -27,7 +27,7 @@ EDIT_SHARE = 0.05
 #: Shorter items are too common to mean anything.
 LEAST_CHARS = 40
 #: Characters of the benchmark that one pass over the documents carries; more take more passes.
-PASS_CHARS = 8_000_000
+PASS_CHARS = 1_000_000
 SIGNS = re.compile(r"[\W_]+")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 FILTER_BITS = 22
@@ -220,12 +220,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark pattern, with all their columns."""
-    names, clean = docs.columns, docs
+    clean = docs
     for known in passes(benchmark):
-        row = clean.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), whole().alias("text"))
+        row, texts = with_rows(clean)
 
-        def run(rows: dict[str, list], known: Patterns = known) -> dict[str, list]:
-            return {"row": rows["row"], "leaks": [bool(f) for f in find_all(rows["text"].to_pylist(), known)]}
+        def run(rows: dict[str, list], known: Patterns = known, texts: Callable = texts) -> dict[str, list]:
+            return {"row": rows["row"], "leaks": [bool(f) for f in find_all(texts(rows), known)]}
 
         kept = batches(row, run, StructType([row.schema["row"], StructField("leaks", BooleanType())]))
         clean = kept.where("not leaks").select("row.*")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
-from quotewright.llm.common import Memo, batches, whole
+from quotewright.llm.common import Memo, batches, whole, with_rows
 
 #: Labelled documents that the fit uses at most, those with the smallest hash of their id.
 MAX_LABELLED = 20_000
@@ -164,11 +164,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def without_toxic(docs: DataFrame, fitted_on: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the model fitted on ``fitted_on`` does not call toxic, with all their columns."""
     model = fit(fitted_on, labels)
-    names = docs.columns
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), whole().alias("text"))
+    row, texts = with_rows(docs)
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        return {"row": rows["row"], "toxic": model.above(rows["text"].to_pylist())[:, 0] > cut}
+        return {"row": rows["row"], "toxic": model.above(texts(rows))[:, 0] > cut}
 
     kept = batches(row, run, StructType([row.schema["row"], StructField("toxic", BooleanType())]))
     return kept.where("not toxic").select("row.*")

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -219,3 +220,27 @@ def test_words_of_a_text_with_special_strings():
     words = packing.WordIds(public_tokenizers.path(packing.MODEL))
     for text in ("a <|endoftext|> b", " a", "a  b", "a \n b", "a\nb c", "don't we've it's", "x1 22 333"):
         assert words.ids(text) == words.encode(text)
+
+
+def test_line_dedup_stage_with_a_column_of_the_counts_name(spark):
+    body = "\n".join(f"line {i} of a passage that is long enough to count" for i in range(30))
+    rows = [(1, body, 7), (2, body, 8), (3, "other", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lines_removed int")
+    kept = corpus_pipeline.line_dedup(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    found = {r.doc_id: (r.text, r.lines_removed) for r in kept.collect()}
+    assert found[1] == (body, 7) and found[3] == ("other", 9) and found.get(2, ("", 8))[1] == 8
+
+
+def test_rows_with_texts_hold_them_once(spark):
+    docs = spark.createDataFrame([(1, None, "x"), (2, "a", "y")], "doc_id long, text string, row string")
+    rows, texts = common.with_rows(docs)
+    assert rows.columns == ["row"]
+    assert [texts({"row": pa.array([{"text": None}, {"text": "a"}])})] == [["", "a"]]
+
+
+def test_workers_let_go_of_other_values():
+    made = []
+    for name in ("a", "a", "b", "a"):
+        common.worker_value(f"test {name}", lambda name=name: made.append(name) or name)
+    assert made == ["a", "b", "a"]
