@@ -21,8 +21,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated line chunks; one of which nothing is left goes."""
-    cut = line_chunks.line_dedup(session_of(spark, docs))
-    return cut.where((F.col("lines_removed") == 0) | (F.trim("text") != "")).select(docs.columns)
+    # documents may have a column of the count's name; it steps aside
+    aside = {c: f"_own_{c}" for c in docs.columns if c.lower() == "lines_removed"}
+    cut = line_chunks.line_dedup(session_of(spark, docs).withColumnsRenamed(aside))
+    kept = cut.where((F.col("lines_removed") == 0) | (F.trim("text") != ""))
+    return kept.select([F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
