@@ -43,7 +43,7 @@ def map_strings(text: Column, change: Callable[[Column], Column]) -> Column:
 
     def changed(token: Column) -> Column:
         is_value = F.startswith(token, F.lit('"')) & ~F.endswith(token, F.lit('":'))
-        value = let(change(_unquoted(restored(token))), quoted)
+        value = let(_unquoted(restored(token)), lambda text: let(change(text), quoted))
         return F.when(is_value, value).otherwise(restored(token))
 
     return F.array_join(F.transform(F.regexp_extract_all(marked, F.lit(_TOKEN), F.lit(0)), changed), "")

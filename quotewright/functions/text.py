@@ -68,8 +68,16 @@ def clean_tech_stack(items: Column) -> Column:
     return F.filter(F.transform(items, strip), lambda t: t != "")
 
 
+#: What a text must have for ``clean_text`` to change it: a mark, a bullet, or white space that is not one blank between words.
+_UNCLEAN = r"[*#`\[" + SPACE_CLASS.replace(" ", "") + r"]|  |^ | \z|^[-+] "
+
+
 def clean_text(c: Column) -> Column:
-    """Drop Markdown emphasis, headings, bullets, backticks and links."""
+    """Drop Markdown emphasis, headings, bullets, backticks and links. A look for any of them spares plain texts the five rules."""
+    return F.when(c.rlike(_UNCLEAN), _cleaned(c)).otherwise(c)
+
+
+def _cleaned(c: Column) -> Column:
     c = F.replace(c, F.lit("*"), F.lit(""))
     c = F.regexp_replace(c, "(?U)" + HEADING, "")
     c = F.regexp_replace(c, "(?Udm)" + LINE_BULLET, "")

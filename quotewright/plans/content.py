@@ -21,14 +21,21 @@ def sql_clean(c: str) -> str:
 
 
 
-@query(f"SELECT doc_id, {sql_clean('text')} AS cleaned FROM documents")
+def marked(spark, sf):
+    return tables.view(spark, sf, tables.MARKED_DOCUMENTS)
+
+
+MARKED_SQL = f"({tables.portable(tables.MARKED_DOCUMENTS)}) marked"
+
+
+@query(f"SELECT doc_id, {sql_clean('text')} AS cleaned FROM {MARKED_SQL}")
 def clean_text(spark, sf):
-    return documents(spark, sf).select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
+    return marked(spark, sf).select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
 
 
-@query(f"""SELECT doc_id, {sql_strip(f"regexp_replace(replace(replace(replace(regexp_replace(text, '(?i){sql_pattern(text.INJECTION)}', '{text.REDACTED}', 'g'), '</', '[/'), '<|', '[|'), '|>', '|]'), '(?i){sql_pattern(text.ROLE_MARKER)}', '{chr(92)}1{chr(92)}2:', 'g')")} AS sanitized FROM documents""")
+@query(f"""SELECT doc_id, {sql_strip(f"regexp_replace(replace(replace(replace(regexp_replace(text, '(?i){sql_pattern(text.INJECTION)}', '{text.REDACTED}', 'g'), '</', '[/'), '<|', '[|'), '|>', '|]'), '(?i){sql_pattern(text.ROLE_MARKER)}', '{chr(92)}1{chr(92)}2:', 'g')")} AS sanitized FROM {MARKED_SQL}""")
 def sanitize_text(spark, sf):
-    return documents(spark, sf).select("doc_id", text.sanitize_text(F.col("text")).alias("sanitized"))
+    return marked(spark, sf).select("doc_id", text.sanitize_text(F.col("text")).alias("sanitized"))
 
 
 def _fold_sql(c: str) -> str:
@@ -39,9 +46,9 @@ def _fold_sql(c: str) -> str:
     return f"regexp_replace(regexp_replace({c}, '{text.CONTROL_CHARS}', '', 'g'), '{text.NOT_LATIN1}', '?', 'g')"
 
 
-@query(f"SELECT doc_id, {_fold_sql('text')} AS folded FROM documents")
+@query(f"SELECT doc_id, {_fold_sql('text')} AS folded FROM {MARKED_SQL}")
 def latin1_fold(spark, sf):
-    return documents(spark, sf).select("doc_id", text.latin1_fold(F.col("text")).alias("folded"))
+    return marked(spark, sf).select("doc_id", text.latin1_fold(F.col("text")).alias("folded"))
 
 
 _TRUNCATE = """CASE WHEN length(text) > 12000 THEN concat(left(text, 12000), chr(10), '... [truncated to 12000 chars]') ELSE text END"""
@@ -182,13 +189,22 @@ def nested_type(spark, sf):
     return tables.read_table(spark, sf, "documents").schema["n_chars"].dataType.simpleString()
 
 
-def ok_sections(spark, sf, name):
-    return responses.parse_response(tables.view(spark, sf, tables.RAW_RESPONSES), (name,)).where("status = 'ok'")
+def ok_sections(spark, sf, name, view=tables.RAW_RESPONSES):
+    return responses.parse_response(tables.view(spark, sf, view), (name,)).where("status = 'ok'")
+
+
+# Replies of the documents' own lines: each line a deliverable and a risk, behind prose or in a fence.
+_DOCUMENT_REPLIES = """SELECT doc_id AS request_id, 0 AS expected_weeks,
+    CASE doc_id % 3 WHEN 0 THEN concat('```json\n', js, '\n```') WHEN 1 THEN concat('Here it is: ', js, ' - done.') ELSE js END AS raw
+    FROM (SELECT doc_id, to_json(named_struct('executive_summary', source, 'deliverables', split(text, '\n'), 'owner', named_struct('lang', lang),
+      'risk_assessment', transform(split(text, '\n'), l -> named_struct('risk', l, 'mitigation', concat('# ', lang),
+        'impact', CASE length(l) % 4 WHEN 0 THEN ' HIGH ' WHEN 1 THEN 'low' WHEN 2 THEN 'severe' END)))) AS js FROM {documents}) j"""
+_LINES_SQL = "SELECT doc_id, lang, generate_subscripts(lines, 1) - 1 AS pos, unnest(lines) AS line FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS lines FROM documents) a"
 
 
-@query(with_ctes(f"""SELECT request_id, unnest(['1.', '2.']) AS no, unnest(['a', 'b']) AS deliverable FROM raw_responses WHERE {_OK}""", "raw_responses"))
+@query(f"SELECT doc_id AS request_id, concat(pos + 1, '.') AS no, {sql_clean('line')} AS deliverable FROM ({_LINES_SQL}) b")
 def deliverable_rows(spark, sf):
-    return reports.deliverable_rows(ok_sections(spark, sf, "deliverables"))
+    return reports.deliverable_rows(ok_sections(spark, sf, "deliverables", _DOCUMENT_REPLIES))
 
 
 @query(with_ctes(f"""SELECT request_id, pos, phase, concat(weeks, 'w') AS duration, '' AS description FROM (
@@ -201,10 +217,11 @@ def timeline_rows(spark, sf):
     return reports.timeline_rows(ok_sections(spark, sf, "timeline"))
 
 
-@query(with_ctes(f"""SELECT request_id, 8 AS section_no, 0 AS pos, 'r' AS risk, 'Medium' AS impact, '-' AS probability, '' AS mitigation
-    FROM raw_responses WHERE {_OK}""", "raw_responses"))
+@query(f"""SELECT doc_id AS request_id, 8 AS section_no, cast(pos AS int) AS pos, {sql_clean('line')} AS risk,
+    CASE length(line) % 4 WHEN 0 THEN 'High' WHEN 1 THEN 'Low' ELSE 'Medium' END AS impact, '-' AS probability, lang AS mitigation
+    FROM ({_LINES_SQL}) b""")
 def risk_rows(spark, sf):
-    return reports.risk_rows(ok_sections(spark, sf, "risk_assessment"), has_team=True)
+    return reports.risk_rows(ok_sections(spark, sf, "risk_assessment", _DOCUMENT_REPLIES), has_team=True)
 
 
 _IMPACT = "CASE lower(trim(impact)) WHEN 'high' THEN 'High' WHEN 'low' THEN 'Low' ELSE 'Medium' END"
