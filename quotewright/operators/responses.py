@@ -93,19 +93,19 @@ def _is_blank(value: Column, kind: Column) -> Column:
 def _phase(p: Column, text: Column) -> Column:
     return F.struct(
         p.isNotNull().alias("is_object"),
-        F.when(p.isNull(), text).otherwise(p["phase"]).alias("phase"),
+        clean_text(F.when(p.isNull(), text).otherwise(p["phase"])).alias("phase"),
         p["weeks"].try_cast("double").alias("weeks"),
-        p["description"].alias("description"),
+        clean_text(p["description"]).alias("description"),
     )
 
 
 def _risk(r: Column, text: Column) -> Column:
     return F.struct(
         r.isNotNull().alias("is_object"),
-        F.when(r.isNull(), text).otherwise(r["risk"]).alias("risk"),
-        F.when(r.isNotNull(), normalise_impact(r["impact"])).alias("impact"),
-        r["probability"].alias("probability"),
-        r["mitigation"].alias("mitigation"),
+        clean_text(F.when(r.isNull(), text).otherwise(r["risk"])).alias("risk"),
+        F.when(r.isNotNull(), normalise_impact(clean_text(r["impact"]))).alias("impact"),
+        clean_text(r["probability"]).alias("probability"),
+        clean_text(r["mitigation"]).alias("mitigation"),
     )
 
 
@@ -115,20 +115,20 @@ def clean_value(value: Column) -> Column:
 
 
 def _get(name: str, kind: str) -> Column:
-    return F.try_variant_get(F.col("sections"), f"$.{name}", kind)
+    return F.try_variant_get(F.col("_json"), f"$.{name}", kind)
 
 
 def _text_of(name: str) -> Column:
     """The section as text: the missing mark, or what the reply as a whole comes to."""
     absent = _get(name, "variant").isNull()
-    return F.when(F.col("status") != "ok", F.col("_plain")).when(absent, MISSING).otherwise(_get(name, "string"))
+    return F.when(F.col("status") != "ok", F.col("_plain")).when(absent, MISSING).otherwise(clean_text(_get(name, "string")))
 
 
 def _list_of(name: str) -> Column:
     """A list section with its types, or NULL."""
     typed = _get(name, LIST_TYPES[name])
     if name == "deliverables":
-        items = typed
+        items = F.transform(typed, clean_text)
     else:
         convert = {"timeline": _phase, "risk_assessment": _risk}[name]
         # texts of the entries, needed where one is not an object
@@ -142,41 +142,41 @@ def _list_of(name: str) -> Column:
 
 
 def routed_responses(responses: DataFrame) -> DataFrame:
-    """``sections``, the reply's cleaned JSON with all keys, and ``status`` (ok, fallback_text, error) for every reply.
+    """``_json``, the reply's JSON, and ``status`` (ok, fallback_text, error) for every reply.
 
     ``_plain`` is the text that stands for every section of a reply that is not ok. The
-    JSON is parsed, and its texts are cleaned, once per row.
+    JSON is parsed once per row.
     """
-    json, kind = F.col("sections"), F.col("_kind")
+    json, kind = F.col("_json"), F.col("_kind")
     parsed = once(responses, {"_json": extract_json(F.col("raw"))})
-    parsed = once(parsed, {"_kind": _kind(F.col("_json")), "sections": clean_value(F.col("_json"))})
+    parsed = once(parsed, {"_kind": _kind(json)})
     week_kinds = F.transform(
         F.filter(_get("timeline", LIST_TYPES["timeline"]), lambda p: p.isNotNull()),
         lambda p: F.coalesce(_kind(p["weeks"]), F.lit("BIGINT")),
     )
-    blank = json.isNull() | _is_blank(F.col("_json"), kind)
+    blank = json.isNull() | _is_blank(json, kind)
     not_object = F.when(kind != "OBJECT", F.concat(
         F.lit("Unexpected error: AttributeError: '"), _type_name(kind), F.lit("' object has no attribute 'get'")))
     error = F.when(kind == "OBJECT", let(F.when(F.col("expected_weeks") > 0, week_kinds), _week_error)).otherwise(not_object)
     parsed = once(parsed, {"_blank": blank, "_error": F.when(~blank, error)})
     status = F.when(F.col("_blank"), "fallback_text").when(F.col("_error").isNotNull(), "error").otherwise("ok")
     plain = F.when(F.col("_blank"), clean_text(F.col("raw"))).otherwise(F.col("_error"))
-    return once(parsed, {"status": status, "_plain": plain}).drop("_json", "_kind", "_blank", "_error", "raw")
+    return once(parsed, {"status": status, "_plain": plain}).drop("_kind", "_blank", "_error", "raw")
 
 
 def parse_response(responses: DataFrame, wanted: tuple[str, ...] = SECTIONS) -> DataFrame:
     """The ``wanted`` sections and a ``status`` (ok, fallback_text, error) for every reply.
 
     Needs ``raw`` and ``expected_weeks``. List sections also have a ``_text`` column,
-    set when the section is not a list. ``sections`` keeps the whole cleaned reply, also
-    keys that no column shows. Nothing is shuffled, a bad reply is a row with an error
+    set when the section is not a list. ``sections`` is the whole reply, cleaned at any
+    depth, with the keys that no column shows; it costs nothing where it is not used. Nothing is shuffled, a bad reply is a row with an error
     text, not a failed task, and sections that are not wanted are not computed.
     """
     columns = {name: _list_of(name) if name in LIST_TYPES else _text_of(name) for name in wanted}
     found = once(routed_responses(responses), columns)
     # a list section without a list is text
     texts = {f"{name}_text": F.when(F.col(name).isNull(), _text_of(name)) for name in wanted if name in LIST_TYPES}
-    return found.withColumns(texts).drop("_plain")
+    return found.withColumns(texts).withColumn("sections", clean_value(F.col("_json"))).drop("_json", "_plain")
 
 
 def section_digest(sections_json: Column, limit: int = 400) -> Column:
