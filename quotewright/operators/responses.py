@@ -114,69 +114,65 @@ def clean_value(value: Column) -> Column:
     return map_variant(value, clean_text)
 
 
-def _get(name: str, kind: str) -> Column:
-    return F.try_variant_get(F.col("_json"), f"$.{name}", kind)
-
-
-def _text_of(name: str) -> Column:
-    """The section as text: the missing mark, or what the reply as a whole comes to."""
-    absent = _get(name, "variant").isNull()
-    return F.when(F.col("status") != "ok", F.col("_plain")).when(absent, MISSING).otherwise(clean_text(_get(name, "string")))
-
-
-def _list_of(name: str) -> Column:
-    """A list section with its types, or NULL."""
-    typed = _get(name, LIST_TYPES[name])
-    if name == "deliverables":
-        items = F.transform(typed, clean_text)
-    else:
-        convert = {"timeline": _phase, "risk_assessment": _risk}[name]
-        # texts of the entries, needed where one is not an object
-        texts = lambda t: F.when(
-            F.exists(t, lambda e: e.isNull()), _get(name, "array<string>")).otherwise(F.array().cast("array<string>"))
-        items = let(typed, lambda t: F.zip_with(t, texts(t), convert))
-    if name == "timeline":
-        weeks = F.col("expected_weeks").cast("double")
-        items = F.when(weeks > 0, rescale_array(items, weeks)).otherwise(items)
-    return F.when(F.col("status") == "ok", items)
-
-
-def routed_responses(responses: DataFrame) -> DataFrame:
-    """``_json``, the reply's JSON, and ``status`` (ok, fallback_text, error) for every reply.
-
-    ``_plain`` is the text that stands for every section of a reply that is not ok. The
-    JSON is parsed once per row.
+def parse_response(responses: DataFrame, wanted: tuple[str, ...] = SECTIONS) -> DataFrame:
+    """The ``wanted`` sections and a ``status`` (ok, fallback_text, error) for every reply.
+
+    Needs ``raw`` and ``expected_weeks``. List sections also have a ``_text``
+    column, set when the section is not a list. Nothing is shuffled, and a bad
+    reply is a row with an error text, not a failed task. ``sections`` is the whole
+    reply, cleaned at any depth, with the keys that no column shows.
     """
     json, kind = F.col("_json"), F.col("_kind")
+    typed = {name: F.col(f"_{name}") for name in LIST_TYPES}
     parsed = once(responses, {"_json": extract_json(F.col("raw"))})
-    parsed = once(parsed, {"_kind": _kind(json)})
+    parsed = once(parsed, {
+        "_kind": _kind(json),
+        **{f"_{name}": F.try_variant_get(json, f"$.{name}", kind) for name, kind in LIST_TYPES.items()},
+    })
     week_kinds = F.transform(
-        F.filter(_get("timeline", LIST_TYPES["timeline"]), lambda p: p.isNotNull()),
+        F.filter(typed["timeline"], lambda p: p.isNotNull()),
         lambda p: F.coalesce(_kind(p["weeks"]), F.lit("BIGINT")),
     )
-    blank = json.isNull() | _is_blank(json, kind)
-    not_object = F.when(kind != "OBJECT", F.concat(
-        F.lit("Unexpected error: AttributeError: '"), _type_name(kind), F.lit("' object has no attribute 'get'")))
-    error = F.when(kind == "OBJECT", let(F.when(F.col("expected_weeks") > 0, week_kinds), _week_error)).otherwise(not_object)
-    parsed = once(parsed, {"_blank": blank, "_error": F.when(~blank, error)})
+    parsed = once(parsed, {
+        "_blank": json.isNull() | _is_blank(json, kind),
+        "_weeks": F.when(F.col("expected_weeks") > 0, week_kinds),
+    })
+    error = F.when(F.col("_blank"), F.lit(None).cast("string")).when(
+        kind != "OBJECT",
+        F.concat(
+            F.lit("Unexpected error: AttributeError: '"), _type_name(kind),
+            F.lit("' object has no attribute 'get'"),
+        ),
+    ).otherwise(_week_error(F.col("_weeks")))
+    parsed = once(parsed, {"_error": error})
     status = F.when(F.col("_blank"), "fallback_text").when(F.col("_error").isNotNull(), "error").otherwise("ok")
     plain = F.when(F.col("_blank"), clean_text(F.col("raw"))).otherwise(F.col("_error"))
-    return once(parsed, {"status": status, "_plain": plain}).drop("_kind", "_blank", "_error", "raw")
-
-
-def parse_response(responses: DataFrame, wanted: tuple[str, ...] = SECTIONS) -> DataFrame:
-    """The ``wanted`` sections and a ``status`` (ok, fallback_text, error) for every reply.
-
-    Needs ``raw`` and ``expected_weeks``. List sections also have a ``_text`` column,
-    set when the section is not a list. ``sections`` is the whole reply, cleaned at any
-    depth, with the keys that no column shows; it costs nothing where it is not used. Nothing is shuffled, a bad reply is a row with an error
-    text, not a failed task, and sections that are not wanted are not computed.
-    """
-    columns = {name: _list_of(name) if name in LIST_TYPES else _text_of(name) for name in wanted}
-    found = once(routed_responses(responses), columns)
-    # a list section without a list is text
-    texts = {f"{name}_text": F.when(F.col(name).isNull(), _text_of(name)) for name in wanted if name in LIST_TYPES}
-    return found.withColumns(texts).withColumn("sections", clean_value(F.col("_json"))).drop("_json", "_plain")
+    routed = once(parsed, {"status": status, "_plain": plain})
+    ok = F.col("status") == "ok"
+
+    def text_of(name: str) -> Column:
+        absent = F.try_variant_get(json, f"$.{name}", "variant").isNull()
+        text = clean_text(F.try_variant_get(json, f"$.{name}", "string"))
+        return F.when(~ok, F.col("_plain")).when(absent, MISSING).otherwise(text)
+
+    columns = {name: text_of(name) for name in SECTIONS[:2]}
+    for name, convert in (("timeline", _phase), ("risk_assessment", _risk)):
+        # Texts of the entries, needed where one is not an object.
+        texts = F.when(
+            F.exists(typed[name], lambda e: e.isNull()), F.try_variant_get(json, f"$.{name}", "array<string>")
+        ).otherwise(F.array().cast("array<string>"))
+        columns[name] = F.when(ok, F.zip_with(typed[name], texts, convert))
+    columns["deliverables"] = F.when(ok, F.transform(typed["deliverables"], clean_text))
+    for name in SECTIONS[2:]:
+        columns[f"{name}_text"] = F.when(~ok | typed[name].isNull(), text_of(name))
+    sections = once(routed, columns).drop(
+        "_kind", "_blank", "_weeks", "_error", "_plain", "raw", *[f"_{name}" for name in LIST_TYPES]
+    )
+    weeks = F.col("expected_weeks").cast("double")
+    unwanted = [c for name in SECTIONS if name not in wanted for c in (name, f"{name}_text")]
+    return sections.withColumn(
+        "timeline", F.when(weeks > 0, rescale_array(F.col("timeline"), weeks)).otherwise(F.col("timeline"))
+    ).withColumn("sections", clean_value(json)).drop("_json", *unwanted)
 
 
 def section_digest(sections_json: Column, limit: int = 400) -> Column:
