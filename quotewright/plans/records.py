@@ -8,6 +8,7 @@ from quotewright.functions import dates, text
 from quotewright.operators import history, reports, uploads, validation
 from quotewright.operators.pricing import COST_PARTS
 from quotewright.operators.responses import read_sections as stored_sections
+from quotewright.operators.segments import written
 from quotewright.plans import inputs
 from quotewright.plans.inputs import COST, UPLOAD, iso, with_ctes
 from quotewright.plans.pricing import AMOUNTS, estimates, full_proposals
@@ -231,16 +232,20 @@ def append_proposals(spark, sf):
     rows = inputs.valid_requests(spark, sf).join(full, "request_id").select(
         F.col("request_id").alias("id"), "device_id", "client_name", "provider", F.lit(" ").substr(2, 1).alias("model"),
         "sections_json", "created_at")
+    rows = written(rows, "proposal-rows")  # the batches below read it three times
     for half in (0, 1, 1):
         proposals.append_proposals(rows.where(F.col("id") % 2 == half), path, f"half-{half}")
     history_rows = proposals.read_proposals(spark, path)
-    sections = stored_sections(history_rows).select("id", "sections")
+    sections = stored_sections(history_rows)
 
     def get(what, kind):
         return F.try_variant_get("sections", what, kind)
 
     is_text = get("$.deliverables[1]", "string").isNotNull()
-    return history_rows.join(sections, "id").select(
-        "id", "device_id", "client_name", "provider", "model", F.col("created_month").cast("string").alias("created_month"), "batch",
-        F.when(is_text, get("$.executive_summary", "string")).alias("executive_summary"), get("$.deliverables[1]", "string").alias("second_deliverable"),
+    # what is shown of the sections is taken before the join, which would move them whole
+    shown = sections.select(
+        "id", F.when(is_text, get("$.executive_summary", "string")).alias("executive_summary"), get("$.deliverables[1]", "string").alias("second_deliverable"),
         get("$.estimated_cost.total_estimated_cost", "bigint").alias("total_estimated_cost"), F.size(get("$.team_composition", "array<variant>")).alias("roles"))
+    return history_rows.join(shown.hint("merge"), "id").select(
+        "id", "device_id", "client_name", "provider", "model", F.col("created_month").cast("string").alias("created_month"), "batch",
+        "executive_summary", "second_deliverable", "total_estimated_cost", "roles")
