@@ -230,6 +230,8 @@ def with_reference_text(
     ``requests`` needs request_id (unique), device_id and ts. Without documents the text is empty.
     """
     docs = staged(uploads)
+    # written once: the sample for the ranges, the scan, and requests with and without documents all read them
+    requests = written(requests, "requests")
     scanned = written(_scanned(_uploaded(docs).unionByName(_asked(requests)), segments), "scanned")
     seen = _seen(scanned).where("docs_available > 0").select("request_id", "start_us", "docs_available")
     asked = requests.join(seen, "request_id", "left")
