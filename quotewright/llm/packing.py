@@ -11,32 +11,52 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quotewright.llm.common import Memo, batches, stored, whole, worker_value
+from quotewright.llm.common import batches, stored, whole, worker_value
 
 MODEL = "byte_bpe_50k.json"
 END_ID = 2
 #: Pieces of one length that one task numbers.
 RANK_BLOCK = 50_000
 
-#: A space that stands next to white space, or at an end of the text. The two marks
-#: count as white space in some libraries only.
+#: White space, and two marks that count as such in some libraries only.
+BLANK = r"\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+#: A space that stands next to white space, or at an end of the text. The first is for Arrow.
+LOOSE_SPACE = f"[{BLANK}] | [{BLANK}]|^ | $"
 LOOSE = re.compile("[\\s᠎﻿] | [\\s᠎﻿]|^ | $")
-#: A word of Latin letters with its leading space, signs behind it, and perhaps a line
-#: break and what follows: one pre-token each.
-PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)(?:\n(\S+))?")
+#: Latin letters; a sign behind one begins a pre-token, and a line break between others than white space is one.
+LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+SIGN_AFTER_LETTER = f"([{LETTER}])([!-/:-@\\[-`{{-~])"
+LINE_BREAK = f"([^{BLANK}])\n([^{BLANK}])"
+STEM = f"^ ?[{LETTER}]+$"
+#: Stands where a text is cut, while it is.
+MARK = "\0"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class WordIds(Memo):
-    """The ids of a word as little-endian unsigned 32-bit integers."""
+class WordIds:
+    """Ids of texts as little-endian unsigned 32-bit integers.
+
+    Texts are cut into words, and runs of many words looked up by their distinct ones.
+    ``known`` has the words met lately; when it is full it becomes ``older``, from which
+    what is met again comes back.
+    """
+
+    #: Words that a generation keeps, and characters of the longest one kept.
+    MOST, LONGEST = 100_000, 80
+    #: Texts that are cut, and words that are looked up, at once; bounds a worker's memory.
+    TEXTS, RUN = 500, 1 << 17
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -45,32 +65,64 @@ class WordIds(Memo):
         # byte-level models see every byte as a printable character: itself, or one above 255
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
-        self.printable = {b: 256 + n for n, b in enumerate(hidden)}
-        super().__init__(self.word)
-
-    def word(self, text: str) -> bytes:
-        """Ids of a word; a plain one skips the search for pre-tokens."""
-        parts = PLAIN.fullmatch(text)
-        if not parts:
-            return self.encode(text)
-        stem, signs, more = parts.groups()
-        if more:
-            return self[stem + signs] + self["\n"] + self[more]
-        if signs:
-            return self[stem] + self[signs]
-        tokens = self.model.tokenize(stem.encode().decode("latin-1").translate(self.printable))
-        return b"".join([t.id.to_bytes(4, "little") for t in tokens])
+        self.printable = np.arange(256, dtype="<u4")
+        self.printable[hidden] = 256 + np.arange(len(hidden))
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def stems(self, stems: list[str]) -> list[bytes]:
+        """Ids of runs of letters, perhaps with a leading space: one pre-token each, which the model alone splits."""
+        shown = self.printable[np.frombuffer("\n".join(stems).encode(), np.uint8)].tobytes().decode("utf-32-le")
+        return [array("I", [t.id for t in self.model.tokenize(s)]).tobytes() for s in shown.split(chr(self.printable[10]))]
+
+    def words(self, words: pa.Array) -> list[bytes]:
+        """Ids of each of some distinct words; what no generation has is encoded."""
+        if len(self.known) >= self.MOST:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        keys = words.to_numpy(zero_copy_only=False)
+        fresh = np.array([k not in known for k in keys], bool)
+        plain = pc.match_substring_regex(words, STEM).to_numpy(zero_copy_only=False)
+        known.update([(k, older[k]) for k in keys[fresh] if k in older])
+        fresh[fresh] = [k not in known for k in keys[fresh]]
+        known.update([(k, self.encode(k)) for k in keys[fresh & ~plain]])
+        if len(stems := keys[fresh & plain].tolist()):
+            known.update(zip(stems, self.stems(stems), strict=True))
+        ids = [known[k] for k in keys]
+        for long in [k for k in keys[fresh] if len(k) > self.LONGEST]:
+            del known[long]
+        return ids
+
+    def run(self, words: pa.Array) -> pa.Array:
+        """Ids of each word."""
+        found = words.dictionary_encode()
+        return pa.array(self.words(found.dictionary), pa.large_binary()).take(found.indices)
+
+    def some(self, texts: pa.Array) -> Iterator[bytes]:
+        whole = pc.match_substring_regex(texts, LOOSE_SPACE)
+        for special in (*self.specials, MARK):
+            whole = pc.or_(whole, pc.match_substring(texts, special))
+        cut_up = pc.replace_substring(texts.filter(pc.invert(whole)), " ", f"{MARK} ")
+        cut_up = pc.replace_substring_regex(cut_up, LINE_BREAK, f"\\1{MARK}\n{MARK}\\2")
+        cut_up = pc.split_pattern(pc.replace_substring_regex(cut_up, SIGN_AFTER_LETTER, f"\\1{MARK}\\2"), MARK)
+        words, ends = cut_up.flatten(), np.cumsum([0, *pc.list_value_length(cut_up).to_numpy()])
+        runs = [self.run(words[i : i + self.RUN]) for i in range(0, len(words), self.RUN)]
+        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays([pa.array([], pa.large_binary()), *runs]))
+        joined = iter(pc.binary_join(ids, pa.scalar(b"", pa.large_binary())))
+        for text, loose in zip(texts, whole.to_pylist(), strict=True):
+            yield self.encode(text.as_py()) if loose else next(joined).as_py()
+
+    def texts(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of whole texts. The tokenizer never joins what a cut divides: a character and
+        the single space after it, a letter and a sign, a line break and what is around it."""
+        for i in range(0, len(texts), self.TEXTS):
+            yield from self.some(texts[i : i + self.TEXTS])
+
     def ids(self, text: str) -> bytes:
-        """Ids of a whole text. The tokenizer never joins a character and the single space
-        after it, so words with their leading space are encoded, and kept, one by one."""
-        if not text or LOOSE.search(text) or any(s in text for s in self.specials):
-            return self.encode(text)
-        first, *rest = text.split(" ")
-        return self[first] + b"".join([self[f" {w}"] for w in rest])
+        return next(self.texts(pa.array([text])))
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -87,8 +139,8 @@ def token_pieces(docs: DataFrame, path: str | None = None, size: int = 1024, end
     def pieces(rows: dict[str, list]) -> dict[str, list]:
         words = worker_value(f"words {path}", lambda: WordIds(path))
         out: list[tuple] = []
-        for doc, text in zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist(), strict=True):
-            ids = words.ids(text) + end
+        for doc, ids in zip(rows["doc_id"].to_pylist(), words.texts(rows["text"]), strict=True):
+            ids += end
             for k, (start, length) in enumerate(cut(len(ids) // 4, size)):
                 out.append((doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
         return dict(zip(("doc_id", "piece", "start", "length", "ids_crc32"), zip(*out, strict=True), strict=True))

@@ -66,6 +66,28 @@ def test_packing(spark, odd_documents, odd_texts, rows, monkeypatch):
     check_packing(packing.best_two_fit(odd_documents), odd_texts)
 
 
+def test_word_parts_are_encoded_once(monkeypatch):
+    words = packing.WordIds(public_tokenizers.path(packing.MODEL))
+    text = "\n".join(f"{stem}{sign}end, {stem}" for stem in ("stone", "Äpfel", "mountain", "x") for sign in "-.'/&")
+    want, calls = words.encode(text), []
+    monkeypatch.setattr(words, "encode", lambda t: calls.append(t) or packing.WordIds.encode(words, t))
+    assert words.ids(text) == want
+    assert len(calls) < 10  # signs and the line break; all runs of letters go to the model at once
+
+
+def test_word_ids_are_those_of_whole_texts(monkeypatch):
+    for limit, value in (("MOST", 30), ("LONGEST", 6), ("TEXTS", 7), ("RUN", 16)):
+        monkeypatch.setattr(packing.WordIds, limit, value, raising=False)
+    words = packing.WordIds(public_tokenizers.path(packing.MODEL))
+    rng = random.Random(5)
+    parts = [*"abstÀéßɏªа漢\u0301", *"'-.,!~…“\x00", *"07²Ⅷ", *" \n", "  ", "\n\n", "\r\n", *"\t\x1c\x85\xa0\u180e\u2028\u3000\ufeff", "'s", "'ll", " the", "<|endoftext|>", "<|end"]
+    usual = ["one", " two", " Thrée", ",", ".", "-", "'t", "\n", " 5"]
+    texts = ["".join(rng.choices(rng.choice((parts, usual)), k=rng.choice((0, 1, 3, 12, 60)))) for _ in range(600)]
+    for kind in (pa.string(), pa.large_string()):
+        assert list(words.texts(pa.array(texts, kind))) == [words.encode(t) for t in texts]
+    assert list(words.texts(pa.array([], pa.string()))) == []
+
+
 def test_best_two_fit_replaces_the_smallest():
     counts = np.zeros(11, dtype=np.int64)
     counts[[6, 3, 2]] = 1, 1, 2
