@@ -41,9 +41,9 @@ GENERATOR = 0b101011100011
 #: Rows at an anchor beyond which its fingerprints go the linear way.
 HOT_ANCHOR = 500_000
 #: Rows at anchors that a task holds at once, but for those of the last anchor.
-HELD_ROWS = 1_000_000
+HELD_ROWS = 1 << 18
 #: Pairs compared at once in a task.
-PAIR_BLOCK = 1 << 21
+PAIR_BLOCK = 1 << 18
 
 
 def fingerprint(text: str, width: int = 3) -> int:

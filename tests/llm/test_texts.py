@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -173,6 +174,25 @@ def test_tables_of_whole_anchors(monkeypatch):
     assert sum(len(set(p)) for p in parts) == len(set(anchors))
 
 
+def test_comparing_pairs_holds_few_of_them():
+    """All pairs of 2500 fingerprints at one anchor, six million, are compared in blocks."""
+    fp = np.random.default_rng(4).integers(1 << 62, size=2500)
+    fp[-1] = fp[0] ^ 3
+    tracemalloc.start()
+    u, v = simhash.compare(np.zeros(2500, np.int32), fp, np.ones(2500, bool), 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (u.tolist(), v.tolist()) == ([max(fp[0], fp[-1])], [min(fp[0], fp[-1])])
+    assert peak < 40 << 20
+
+
+def test_batches_of_texts_are_small_and_whole(spark):
+    texts = common.session(spark).range(0, 1500, 1, 1).select("id", F.repeat(F.lit("abcdefgh "), 1000).alias("text"))
+    rows = common.batches(texts, lambda rows: {"id": rows["id"], "held": [rows["text"].nbytes] * len(rows["id"])}, "id long, held long").collect()
+    assert sorted(r["id"] for r in rows) == list(range(1500))
+    assert max(r["held"] for r in rows) < 5 << 20
+
+
 def test_code_is_perfect():
     anchors = simhash.Anchors()
     assert (anchors.extra[anchors.start[:-1]] == 0).all()
