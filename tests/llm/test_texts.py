@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import sys
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -193,6 +194,27 @@ def test_batches_of_texts_are_small_and_whole(spark):
     assert max(r["held"] for r in rows) < 5 << 20
 
 
+def test_workers_let_go_of_values_of_other_modules(spark, monkeypatch):
+    class Frame:
+        def mapInArrow(self, run, schema):
+            return run
+
+    def task(module, name=None):
+        def fn(rows):
+            if name:
+                common.worker_value(name, lambda: rows)
+            return {"n": [len(store)]}
+
+        fn.__module__ = module
+        (out,) = common.batches(Frame(), fn, "n long")(iter([pa.RecordBatch.from_pydict({"n": [0]})]))
+        return out.column("n").to_pylist()
+
+    monkeypatch.setitem(sys.__dict__, "_corpus_worker_values", store := {})
+    monkeypatch.setitem(sys.__dict__, "_corpus_worker_owner", None)
+    assert task("packing", "words") == task("packing", "words") == task("packing") == [1]
+    assert task("toxicity") == [0]
+
+
 def test_code_is_perfect():
     anchors = simhash.Anchors()
     assert (anchors.extra[anchors.start[:-1]] == 0).all()
